@@ -16,6 +16,8 @@ from .skew import heavy_keys, replicated, salted
 BLOCK_LINES = 1_000_000
 #: Edges a partition should hold at most, and at least before another partition is worth its overhead.
 MOST_EDGES, LEAST_EDGES = 2_000_000, 50_000
+#: Rounds at one width before deeper trees are climbed in wider steps, the factor between widths, and the widest.
+ROUNDS, WIDER, WIDEST = 10, 8, 64
 
 
 def _nester(tails: bool):
@@ -127,19 +129,34 @@ def nest_by_level(df: DataFrame, group: str, line: str, level: str, key: str, bl
     return items.where("parent is not null").select("key", "parent").unionByName(resolved).unionByName(loose)
 
 
+def _chained(links: DataFrame, width: int) -> DataFrame:
+    """(parent, child, hops): all ancestor pairs at distances 1 to ``width``, by doubling; ``hops`` leads from below parent to child."""
+    pairs, reach = links, 1
+    spark_width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while reach < width:
+        heavy = heavy_keys(pairs, ["parent"])
+        lower = salted(pairs, ["parent"], heavy, spark_width, F.col("child")).select(F.col("parent").alias("mid"), "__salt", F.col("child").alias("low"), F.col("hops").alias("rest"))
+        upper = replicated(pairs.where(F.size("hops") == reach).select("parent", F.col("child").alias("mid"), "hops"), ["mid"], heavy, spark_width)
+        longer = upper.join(lower, ["mid", "__salt"]).select("parent", F.col("low").alias("child"), F.concat("hops", "rest").alias("hops"))
+        pairs, reach = durable(pairs.unionByName(longer)), 2 * reach
+    return pairs
+
+
 def forest(links: DataFrame, node: str, parent: str, unique: bool = False, complete: bool = False) -> DataFrame:
     """(node, parent, root, depth, path): every node's place in its tree.
 
-    Level-wise frontier joins from the roots: level k holds the children of level k-1, so each node is reached at most
-    once and each level shuffles its own frontier only; the links are laid out by parent once, and what is used up is
-    cut off as soon as it is half of them. Children of a heavy parent are spread by salt. ``path`` runs from the root
-    to the node. Nodes that no root reaches hang on a loop (or are in one): their root, depth and path are null.
+    Level-wise frontier joins from the roots: a level holds the children of the level before, so each node is reached
+    once and a round shuffles its frontier only; the links are laid out by parent once and stay where they are. Where
+    trees go deeper than ROUNDS levels, the links not used up are chained to ancestor pairs of up to WIDER times the
+    distance, and a round takes that many levels at once. Children of a heavy parent are spread by salt. ``path`` runs
+    from the root to the node. Nodes that no root reaches hang on a loop or are in one: root, depth and path are null.
 
     Repeated links count once; of several parents the smallest holds (``unique`` says that neither occurs). A parent
     without a row of its own doesn't count, its children are roots (``complete`` says that there is none). A node
     that is its own parent is a loop. Rows with a null node drop out; an empty frame gives no rows.
     """
     spark = links.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null")
     if not unique:
         nodes = nodes.groupBy("node").agg(F.min("parent").alias("parent"))
@@ -147,38 +164,50 @@ def forest(links: DataFrame, node: str, parent: str, unique: bool = False, compl
     if not complete:
         known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
         nodes = durable(nodes.join(known, "parent", "left").select("node", F.expr("if(known, parent, null)").alias("parent")))
-    edges = nodes.where("parent is not null").select("parent", F.col("node").alias("child"))
-    heavy = heavy_keys(edges, ["parent"])
-    total, linked = nodes.count(), edges.count()
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(math.ceil(linked / LEAST_EDGES), max(width, math.ceil(linked / MOST_EDGES))))
-    lay = lambda e: durable(e.repartition(parts, "parent", "__salt").sortWithinPartitions("parent", "__salt"))
-    edges = lay(salted(edges, ["parent"], heavy, width, F.col("child")))
-    level = durable(nodes.where("parent is null").select("node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path")))
-    levels, used, left, reached = [level], [], linked, level.count()
-    while left:
+    total, linked = nodes.agg(F.count(F.lit(1)), F.count("parent")).first()
+    plain = nodes.where("parent is not null").select("parent", F.col("node").alias("child"), F.array("node").alias("hops"))
+
+    def lay(pairs: DataFrame, n: int) -> tuple[DataFrame, list[tuple]]:
+        parts = max(1, min(math.ceil(n / LEAST_EDGES), max(width, math.ceil(n / MOST_EDGES))))
+        heavy = heavy_keys(pairs, ["parent"])
+        spread = salted(pairs, ["parent"], heavy, width, F.col("child"))
+        return durable(spread.repartition(parts, "parent", "__salt").sortWithinPartitions("parent", "__salt"), laid=True), heavy
+
+    level = nodes.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
+    levels, fresh, reached, at, step, rounds = [level], [level], total - linked, 0, 1, 0
+    pairs, heavy = lay(plain, linked) if linked else (plain, [])
+    while reached < total and level is not None:
+        if rounds == ROUNDS and step < WIDEST:
+            gone = _union([x.where(F.col("depth") < at).select(F.col("node").alias("parent")) for x in fresh])
+            plain = durable(plain.join(gone, "parent", "left_anti"))
+            step, rounds, fresh = min(step * WIDER, WIDEST), 0, [level]
+            chained = _chained(plain, step)
+            pairs, heavy = lay(chained, chained.count())
         ends = replicated(level.select(F.col("node").alias("parent"), "root", "depth", "path"), ["parent"], heavy, width)
-        level = durable(edges.join(ends, ["parent", "__salt"]).select(F.col("child").alias("node"), "parent", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path")))
-        if not (n := level.count()):
-            break
-        levels.append(level)
-        used.append(ends.select("parent", "__salt"))
-        left, reached = left - n, reached + n
-        if left and 2 * left < linked:  # half of the links are used up
-            gone = used[0]
-            for u in used[1:]:
-                gone = gone.unionByName(u)
-            edges, linked, used = durable(edges.join(gone, ["parent", "__salt"], "left_anti").sortWithinPartitions("parent", "__salt")), left, []
-    done = levels[0]
-    for x in levels[1:]:
-        done = done.unionByName(x)
-    done = done.coalesce(max(width, 2))
+        met = pairs.join(ends, ["parent", "__salt"]).select(F.col("child").alias("node"), "root", (F.col("depth") + F.size("hops")).alias("depth"), F.concat("path", "hops").alias("path"))
+        met = durable(met)
+        at, rounds = at + step, rounds + 1
+        n, ahead = met.agg(F.count(F.lit(1)), F.count(F.when(F.col("depth") == at, 1))).first()
+        if n:
+            levels.append(met)
+            fresh.append(met)
+        reached += n
+        level = met.where(F.col("depth") == at) if ahead else None
+    above = F.when(F.col("depth") > 0, F.element_at("path", -2))
+    done = _union(levels).select("node", above.alias("parent"), "root", "depth", "path").coalesce(max(width, 2))
     if reached == total:
         return done
     lost = nodes.join(done.select("node"), "node", "left_anti")
     return done.unionByName(lost.select("node", "parent", F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<long>").alias("path")))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def ancestor_pairs(placed: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) from ``forest``: one row per node and proper ancestor, so all descendants of every node.
 

@@ -67,7 +67,7 @@ def open_state(refs: DataFrame, parents: DataFrame) -> tuple[OrphanState, list[s
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = parents.select(*KEYS, "arrived", "stamp", "deleted_at", period(F.col("seen")).alias("period"))
     p = p.join(r.select(*KEYS).distinct(), KEYS, "left_semi").distinct()
-    lay = lambda df: durable(df.repartition(*KEYS, "__salt"))
+    lay = lambda df: durable(df.repartition(*KEYS, "__salt").sortWithinPartitions(*KEYS, "__salt"), laid=True)
     state = OrphanState(lay(salted(r, KEYS, heavy, width, F.col("ref_id"))), lay(replicated(p, KEYS, heavy, width)))
     # months: bounded by the calendar, not by the data
     months = state.refs.select("period").distinct().union(state.parents.select("period").distinct()).distinct().collect()

@@ -22,7 +22,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: no lineage to replay when an executor is lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, laid: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there: no lineage to replay when an executor is lost.
+
+    ``laid`` keeps the frame's partitioning and order known to later plans, so that joins on them don't shuffle it
+    again; adaptive planning forgets both, and is off while such a frame is written.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not laid:
+        return df.checkpoint(eager=True)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
