@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators.latest import latest
 from ..session import durable, table
-from . import conversations, leakage, mixing, setjoin, splitting
+from . import conversations, leakage, mixing, setjoin, splitting, subjects
 
 # --- 2: conversations
 
@@ -110,7 +110,25 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(durable(mixing.mix(sized, plan)), plan)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_pieces, p6_found, p6_overlaps, p6_links, p7_found, p7_near, p8_found, p8_mix, p8_shares)}
+# --- 9: subject areas
+
+
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject a document touches, with its share and calibrated posterior."""
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).where(F.col("share") >= subjects.SHARE).select("doc_id", "subject")
+
+
+def p9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per subject; a document of several subjects counts for each."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", clean.tokens(F.col("text")).alias("size"))
+    return p9_found(spark, sf_dir).join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("tokens"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_pieces, p6_found, p6_overlaps, p6_links, p7_found, p7_near, p8_found, p8_mix, p8_shares, p9_found, p9_subjects, p9_tokens)}
 
 _SESSIONS = r"""
 WITH said AS (
