@@ -198,7 +198,8 @@ def forest(links: DataFrame, node: str, parent: str, unique: bool = False, compl
     if reached == total:
         return done
     lost = nodes.join(done.select("node"), "node", "left_anti")
-    return done.unionByName(lost.select("node", "parent", F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<long>").alias("path")))
+    nowhere = [F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("root", "depth", "path")]
+    return done.unionByName(lost.select("node", "parent", *nowhere))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
