@@ -60,38 +60,57 @@ def split(df: DataFrame, key: str, content: str, path: str, limit: int = 1000, o
     """
     most = limit_bytes(limit)
     rows = df.select(F.col(key).alias("__key"), F.col(path).alias("__path"), tidy(F.col(content)).alias("__text")).where(tokens(F.col("__text")) > limit).dropDuplicates(["__key"])
-    lines = F.transform(F.split("__text", "\n"), lambda x: F.octet_length(x))
-    runs = F.transform(F.sequence(F.lit(1), F.size("__lines")), lambda i: F.aggregate(F.slice("__lines", i, overlap), F.lit(overlap), lambda s, x: s + x))
     kind = F.lower(F.regexp_extract(F.coalesce("__path", F.lit("")), r"\.([A-Za-z]+)$", 1))
-    sized = (
-        rows.withColumn("__lines", lines)
-        .withColumn("__room", F.lit(most) - F.least(F.array_max(runs), F.lit(most // 2)))
-        .withColumn("__long", F.exists("__lines", lambda n: n > most).cast("int"))
-        .withColumn("__bytes", F.decode(F.encode("__text", "UTF-8"), "ISO-8859-1"))
-        .withColumn("__cuts", F.regexp_extract_all("__bytes", _pattern(most, F.col("__room"), kind), F.lit(0)))
-    )
-    bare = lambda x: F.rtrim(x, F.lit("\n"))
-
-    def lead(prev: Column, cut: Column) -> Column:
-        """The most of the last lines of ``prev`` that fit before ``cut``, with what stood between them."""
-        body = F.split(bare(prev), "\n")
-        gap = F.substring(prev, F.length(bare(prev)) + 1, F.length(prev))
-        tails = [F.concat(F.array_join(F.slice(body, F.greatest(F.size(body) - n + 1, F.lit(1)), n), "\n"), gap) for n in range(overlap, 0, -1)]
-        fits = F.filter(F.array(*tails), lambda t: F.length(t) + F.length(bare(cut)) <= most)
-        return F.when((prev == "") | (F.size(fits) == 0), "").otherwise(fits[0])
-
-    empty = F.struct(F.array().cast("array<struct<lead:string,cut:string,at:int>>").alias("out"), F.lit("").alias("prev"), F.lit(0).alias("at"))
-
-    def step(s: Column, cut: Column) -> Column:
-        before = F.transform(F.array(lead(s["prev"], cut)), lambda t: t)[0]
-        return F.transform(
-            F.array(before),
-            lambda t: F.struct(F.array_append(s["out"], F.struct(t.alias("lead"), cut.alias("cut"), s["at"].alias("at"))).alias("out"), F.concat(t, cut).alias("prev"), (s["at"] + F.length(cut)).alias("at")),
-        )[0]
-
-    folded = sized.withColumn("__pieces", F.aggregate("__cuts", empty, step, lambda s: s["out"]))
-    out = folded.select("__key", "__long", F.size("__pieces").alias("chunk_total"), F.posexplode("__pieces").alias("chunk_index", "p"))
-    text = F.decode(F.encode(bare(F.concat("p.lead", "p.cut")), "ISO-8859-1"), "UTF-8")
+
+    def cut(text: Column) -> Column:
+        lines = F.transform(F.split("__text", "\n"), lambda x: F.octet_length(x))
+        return _let(lines, lambda n: _let(F.regexp_extract_all(text, _pattern(most, _room(n, most, overlap), kind), F.lit(0)), lambda cuts: pieces(cuts, F.exists(n, lambda x: x > most))))
+
+    def pieces(cuts: Column, long: Column) -> Column:
+        # what stands before each cut, as far back as its overlap can reach
+        before = F.transform(cuts, lambda _, i: F.array_join(F.slice(cuts, F.greatest(i - overlap, F.lit(0)) + 1, F.least(i, F.lit(overlap))), ""))
+        marked = lambda back: F.aggregate(F.zip_with(back, cuts, lambda w, x: _mark(w, x, overlap)), _start(), lambda s, x: _step(s, x, most), lambda s: s["out"])
+        joined = lambda back, leads: F.transform(
+            cuts, lambda x, i: F.struct(F.get(leads, i).alias("l"), F.right(F.get(back, i), F.get(leads, i)["lead"]).alias("lead"), x.alias("cut"), F.size(cuts).alias("total"), long.alias("long"))
+        )
+        return _let(before, lambda back: _let(marked(back), lambda leads: joined(back, leads)))
+
+    out = rows.select("__key", F.posexplode(_let(F.decode(F.encode("__text", "UTF-8"), "ISO-8859-1"), cut)).alias("chunk_index", "p"))
+    text = F.decode(F.encode(F.rtrim(F.concat("p.lead", "p.cut"), F.lit("\n")), "ISO-8859-1"), "UTF-8")
+    at = F.col("p.l.at")
     return out.select(
-        F.col("__key").alias(key), "chunk_index", "chunk_total", text.alias(content), F.col("p.at").alias("from_byte"), (F.col("p.at") + F.length("p.cut")).alias("to_byte"), F.col("__long").alias("hard_cut")
+        F.col("__key").alias(key), "chunk_index", F.col("p.total").alias("chunk_total"), text.alias(content), at.alias("from_byte"), (at + F.length("p.cut")).alias("to_byte"), F.col("p.long").cast("int").alias("hard_cut")
     )
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of ``value``, evaluated once: an array function's variable holds it, so no optimizer rule copies the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _room(lines: Column, most: int, overlap: int) -> Column:
+    """Bytes for new text: a piece less the longest run of ``overlap`` lines, half a piece at least."""
+    runs = F.transform(lines, lambda _, i: F.aggregate(F.slice(lines, i + 1, overlap), F.lit(overlap), lambda s, x: s + x))
+    return F.lit(most) - F.least(F.array_max(runs), F.lit(most // 2))
+
+
+def _mark(before: Column, cut: Column, overlap: int) -> Column:
+    """Of a cut: its bytes, its bytes without the newlines at its end, and the bytes of the last ``overlap``, ... 1 lines before it."""
+
+    def tails(bare: Column) -> Column:
+        gap = F.length(before) - F.length(bare)
+        last = _let(F.split(bare, "\n"), lambda x: F.transform(F.slice(x, F.greatest(F.size(x) - overlap + 1, F.lit(1)), overlap), lambda y: F.length(y)))
+        sums = _let(last, lambda x: F.transform(F.sequence(F.size(x), F.lit(1), F.lit(-1)), lambda k: F.aggregate(F.slice(x, F.size(x) - k + 1, k), gap + k - 1, lambda s, y: s + y)))
+        return F.when(before == "", F.array().cast("array<int>")).otherwise(sums)
+
+    return F.struct(F.length(cut).alias("bytes"), F.length(F.rtrim(cut, F.lit("\n"))).alias("bare"), _let(F.rtrim(before, F.lit("\n")), tails).alias("tails"))
+
+
+def _start() -> Column:
+    return F.struct(F.array().cast("array<struct<lead:int,at:int>>").alias("out"), F.lit(0).alias("had"), F.lit(0).alias("at"))
+
+
+def _step(s: Column, x: Column, most: int) -> Column:
+    """Choose a cut's overlap: the most lines that fit and lie within the piece before, of which ``had`` bytes there are."""
+    lead = F.coalesce(F.get(F.filter(x["tails"], lambda t: (t + x["bare"] <= most) & (t <= s["had"])), F.lit(0)), F.lit(0))
+    return _let(lead, lambda n: F.struct(F.array_append(s["out"], F.struct(n.alias("lead"), s["at"].alias("at"))).alias("out"), (n + x["bytes"]).alias("had"), (s["at"] + x["bytes"]).alias("at")))
