@@ -25,6 +25,8 @@ PASSES, SETTLE = 3, 6
 #: subject among the complement; log odds that a segment must overcome to bear on a subject; share of a labelled
 #: document that may be off its labels.
 ALPHA, TOWARDS, BACKGROUND, BIAS, NOISE = 0.3, 300.0, 0.2, 3.0, 0.05
+#: A document's counts are scaled down to those of so many segments, so that a very long one doesn't drown the rest.
+WEIGHED = 64
 #: The share of a document's bearing segments from which on it is about a subject.
 SHARE = 0.25
 KEPT = 1 << 19
@@ -156,12 +158,13 @@ def _counter(k: int, model):  # noqa: ANN001
                 slots, at = features(text.as_py())
                 if not len(slots):
                     continue
+                weight = min(1.0, WEIGHED / (int(at[-1]) + 1))
                 if m is None:
-                    np.add.at(sums[:, k], slots, 1)
+                    np.add.at(sums[:, k], slots, weight)
                     for c in labels or ():
-                        np.add.at(sums[:, c], slots, 1 / len(labels))
+                        np.add.at(sums[:, c], slots, weight / len(labels))
                 else:
-                    p = posteriors(m.scores(slots, at), _prior(labels, k)).astype(np.float32)
+                    p = (weight * posteriors(m.scores(slots, at), _prior(labels, k))).astype(np.float32)
                     np.add.at(sums, slots, p[at])
         used = np.nonzero(sums.any(axis=1))[0]
         for lo in range(0, len(used), 20_000):
