@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import graphops, listings, problems
 
-PARTS = (problems,)
+PARTS = (problems, listings, graphops)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
