@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import recover, source
-from ..operators import incremental, search, traverse, upsert
+from ..functions import classify, packing, recover, source
+from ..functions.clean import tokens
+from ..operators import incremental, repair, search, traverse, upsert
 from ..session import durable, table
+from ..streaming import streams
 from .views import duck, run, view
 
 CHAIN = 3
@@ -182,3 +184,68 @@ _RAW = {
   SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score FROM h JOIN d USING (w), s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 100""",
 }
 ORACLE = {k: duck(v) for k, v in _RAW.items()}
+
+
+# --- repairs, classification and packing
+
+
+def mut01_mark_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "program").select("id", "file_path", "language", "external")
+    return repair.mark_external(rows, view(spark, sf_dir, "calls")).select("id", "language", "external")
+
+
+def mut03_revive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted programs count as dead unless a sourced program calls them."""
+    rows = view(spark, sf_dir, "program").select("id", "file_path", F.col("deleted_at").isNotNull().alias("dead"))
+    return repair.revive(rows, view(spark, sf_dir, "calls"), rows.select(F.col("id").alias("program")).limit(0)).select("id", "dead")
+
+
+def mut05_link_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = view(spark, sf_dir, "dd").select(F.concat_ws("/", "job", "step", "dsname").alias("dd"), F.lit("SYSUT1").alias("name"), "dsname").distinct()
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("file"))
+    return repair.link_cards(cards, files)
+
+
+def mut06_merge_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains whose overlap is over four fifths of the smaller one become one."""
+    from .listings import QUERIES as listed
+
+    return repair.merge_domains(view(spark, sf_dir, "domain"), listed["agg10_domain_overlap"](spark, sf_dir).select(F.col("domain_a").alias("a"), F.col("domain_b").alias("b")))
+
+
+def src07_content_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", classify.by_content(F.col("text")).alias("kind"))
+
+
+def jsn32_document_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "chunk").select("chunk_id", classify.document_kind(F.col("file_name")).alias("kind"))
+
+
+def jsn21_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "program").select("id", classify.normal(F.col("mode"), "execution_mode").alias("mode"))
+
+
+def txt26_packed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middleware chunks packed into pieces of at most 500 tokens."""
+    rows = view(spark, sf_dir, "chunk").where("content is not null").select("chunk_id", F.posexplode(packing.packed(500)(F.col("content"), classify.extension(F.col("file_name")))).alias("i", "piece"))
+    return rows.select("chunk_id", "i", tokens(F.col("piece")).alias("tokens"))
+
+
+def ext01_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per day and type: the batch run of the streaming aggregation."""
+    return streams.windowed(table(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day")
+
+
+QUERIES |= {f.__name__: f for f in (mut01_mark_external, mut03_revive, mut05_link_cards, mut06_merge_domains, src07_content_kind, jsn32_document_kind, jsn21_enum, txt26_packed_sections, ext01_event_windows)}
+ORACLE |= {
+    k: duck(v)
+    for k, v in {
+        "mut01_mark_external": """SELECT id, CASE WHEN file_path IS NULL AND id IN (SELECT dst FROM calls) THEN coalesce(language, 'EXTERNAL') ELSE language END AS language,
+  external OR (file_path IS NULL AND id IN (SELECT dst FROM calls)) AS external FROM program""",
+        "mut03_revive": "SELECT id, deleted_at IS NOT NULL AND id NOT IN (SELECT c.dst FROM calls c JOIN program p ON p.id = c.src WHERE p.file_path IS NOT NULL) AS dead FROM program",
+        "mut05_link_cards": "SELECT DISTINCT job || '/' || step || '/' || dsname AS dd, 'S' || s_suppkey AS file, 'dsname' AS method FROM dd JOIN supplier ON dsname = 'PROD.S' || s_suppkey",
+        "jsn32_document_kind": "SELECT chunk_id, CASE lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'java' THEN 'Java' WHEN 'md' THEN 'Markdown' WHEN 'xml' THEN 'XML' ELSE 'Unknown' END AS kind FROM chunk",
+        "jsn21_enum": "SELECT id, CASE WHEN upper(mode) IN ('BATCH', 'CICS', 'BATCH_AND_CICS', 'IDMS_DC', 'IDMS_BATCH') THEN upper(mode) ELSE 'UNKNOWN' END AS mode FROM program",
+        "ext01_event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+    }.items()
+}
