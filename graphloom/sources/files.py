@@ -22,7 +22,7 @@ MOST_BYTES, MOST_DEPTH = 500 << 20, 3
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, sha256, size, line_count, text) of all files below ``root`` but those in hidden folders.
+    """(path, kind, sha256, size, line_count, text) of all files below ``root`` but empty ones and those in hidden folders.
 
     The kind comes from the name, else, where the name leaves it open, from the content. A newline at the end adds no
     line.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def csv(df: DataFrame, path: str) -> None:
     """One header per part file; doubles with one decimal."""
-    shown = [F.format_string("%.1f", F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.1f", F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
 
 
