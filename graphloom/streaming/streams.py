@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DONE = "key string, parts int, status string"
 
 
-def completed(parts: DataFrame, key: str, index: str, total: str, patience_ms: int = 3_600_000) -> DataFrame:
-    """(key, parts, status): a key is emitted once all of its ``total`` parts came (complete), or, when none came for
-    ``patience_ms`` milliseconds of processing time, with what there is (partial). A part that comes again counts once; parts without
+def completed(parts: DataFrame, key: str, index: str, total: str, patience_ms: int | None = None) -> DataFrame:
+    """(key, parts, status): a key is emitted once all of its ``total`` parts came (complete), or, when ``patience_ms``
+    is given and no part came for so many milliseconds of processing time, with what there is (partial). A part that comes again counts once; parts without
     key, index or total are ignored.
 
     State is a bit set of the parts that came, so its size follows the number of open parts and not their content.
@@ -36,10 +36,11 @@ def completed(parts: DataFrame, key: str, index: str, total: str, patience_ms: i
             closed = True
             yield pd.DataFrame({"key": [k[0]], "parts": [want], "status": ["complete"]})
         state.update((bits.to_bytes((bits.bit_length() + 7) // 8, "little"), want, closed))
-        state.setTimeoutDuration(patience_ms)
+        if patience_ms is not None:
+            state.setTimeoutDuration(patience_ms)
 
     rows = parts.select(F.col(key).alias("k"), F.col(index).alias("i"), F.col(total).alias("t")).where("k is not null and i >= 0 and t is not null")
-    return rows.groupBy("k").applyInPandasWithState(step, DONE, "seen binary, want int, closed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("k").applyInPandasWithState(step, DONE, "seen binary, want int, closed boolean", "append", GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(events: DataFrame, at: str, kind: str, value: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

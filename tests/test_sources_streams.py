@@ -106,9 +106,8 @@ def test_keyed_completion_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(0.05)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = streams.completed(source, "file", "n", "total").writeStream.format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = streams.completed(source, "file", "n", "total").writeStream.format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("done").collect()) == [("f", 2, "complete"), ("k", 1, "complete")]
 
 
@@ -116,5 +115,5 @@ def test_windows_with_a_watermark(spark, tmp_path):
     spark.sql("SELECT timestamp'2025-01-01 00:10:00' AS ts, 'a' AS kind, 1.5D AS value UNION ALL SELECT timestamp'2025-01-01 00:50:00', 'a', 2.0D UNION ALL SELECT timestamp'2025-01-01 03:00:00', 'b', 1.0D").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, kind string, value double").parquet(str(tmp_path / "in"))
     q = streams.windowed(stream, "ts", "kind", "value").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    q.awaitTermination(120)
     assert sorted((r.kind, r.n, r.total) for r in spark.table("windows").collect()) == [("a", 2, 3.5), ("b", 1, 1.0)]
