@@ -143,3 +143,31 @@ def snippet(text: Column, most: int) -> Column:
 def blocks(text: Column, language: str) -> Column:
     """The bodies of fenced code blocks of one language."""
     return F.regexp_extract_all(text, F.lit(rf"(?s)```{language}[ \t]*\n(.*?)```"), F.lit(1))
+
+
+def preamble(text: Column) -> Column:
+    """What a later chunk needs to know of the divisions before: program, files, sections, top-level items, copy members."""
+    named = lambda label, part, pattern: F.when(
+        F.size(F.regexp_extract_all(part, F.lit(pattern), F.lit(1))) > 0, F.concat(F.lit(label), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)))), ", "))
+    )
+    data, env, ident = (F.coalesce(division(text, d), F.lit("")) for d in ("DATA", "ENVIRONMENT", "IDENTIFICATION"))
+    return F.concat_ws(
+        "\n",
+        named("PROGRAM-ID ", ident, r"(?i)PROGRAM-ID\.\s*([A-Za-z0-9_-]+)"),
+        named("SELECT ", env, r"(?im)\bSELECT\s+([A-Za-z0-9_-]+)"),
+        named("SECTION ", data, r"(?im)^[ \t0-9]*([A-Za-z-]+)[ \t]+SECTION\."),
+        named("01 ", data, r"(?im)^[ \t0-9]*\b01[ \t]+([A-Za-z0-9_-]+)"),
+        named("COPY ", text, r"(?im)^[ \t0-9]*COPY[ \t]+([A-Za-z0-9_-]+)"),
+    )
+
+
+def java_outline(text: Column) -> Column:
+    """Package, imported packages, types and method signatures of a Java text."""
+    every = lambda pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    packages = F.array_sort(F.array_distinct(every(r"(?m)^import\s+(?:static\s+)?([\w.]+)\.[\w*]+;")))
+    return F.concat_ws(
+        "\n",
+        F.when(F.size(every(r"(?m)^package\s+([\w.]+);")) > 0, F.concat(F.lit("package "), F.get(every(r"(?m)^package\s+([\w.]+);"), F.lit(0)))),
+        F.when(F.size(packages) > 0, F.concat(F.lit("imports "), F.array_join(packages, ", "))),
+        F.array_join(F.transform(every(r"(?m)^\s*((?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum)\s+\w+|(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ]+\s+\w+\([^)]*\))"), lambda x: F.trim(x)), "\n"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTIAL = "partial:"
@@ -40,3 +40,9 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     best = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"__{c}") for c in rest])).alias("__b")
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__b.__{c}").alias(c) for c in rest])
+
+
+def calibration(samples: DataFrame, key: str, seq: str, estimated: str, actual: str, last: int = 200) -> DataFrame:
+    """``samples`` with ``factor``: the mean of actual over estimated in the last so many samples of the key, this one included; samples without an estimate don't count."""
+    w = Window.partitionBy(key).orderBy(seq).rowsBetween(1 - last, 0)
+    return samples.withColumn("factor", F.avg(F.when(F.col(estimated) > 0, F.col(actual) / F.col(estimated))).over(w))

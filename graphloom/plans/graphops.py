@@ -9,6 +9,7 @@ from ..functions import classify, packing, recover, source
 from ..functions.clean import tokens
 from ..operators import incremental, repair, search, traverse, upsert
 from ..session import durable, table
+from ..sources import extraction
 from ..streaming import streams
 from .views import duck, run, view
 
@@ -249,3 +250,53 @@ ORACLE |= {
         "ext01_event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     }.items()
 }
+
+
+# --- extraction documents, written out of the programs and read back by the contract
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = F.transform("callees", lambda x: F.struct(x.alias("target"), F.lit(False).alias("isDynamic")))
+    body = F.to_json(F.struct(F.col("id").alias("programId"), F.col("mode").alias("executionMode"), F.col("copybooks").alias("copyReferences"), targets.alias("callTargets")))
+    return view(spark, sf_dir, "program").select(F.col("id").alias("key"), F.col("id").alias("program"), body.alias("json"))
+
+
+def jsn05_copy_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extraction.frames(extraction.parse(_documents(spark, sf_dir), "structure"), "structure")
+    return out["includes"].select("program", "copybook").distinct()
+
+
+def jsn05_call_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extraction.frames(extraction.parse(_documents(spark, sf_dir), "structure"), "structure")
+    return out["calls"].select("src", "dst", "is_dynamic").distinct()
+
+
+def jsn29_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = view(spark, sf_dir, "program").select(F.col("id").alias("key"), "line_count")
+    return extraction.completeness(extraction.parse(_documents(spark, sf_dir), "structure"), lines)
+
+
+def txt13_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text like '%DIVISION%'").select("doc_id", source.preamble(F.col("text")).alias("preamble"))
+
+
+def oth31_java_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "chunk").where("file_name like '%.java' and content is not null").select("chunk_id", source.java_outline(F.col("content")).alias("outline"))
+
+
+def txt27_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running ratio of tokens over a quarter of the characters, per kind of middleware file."""
+    rows = view(spark, sf_dir, "chunk").where("content is not null").select("chunk_id", classify.extension(F.col("file_name")).alias("kind"), (F.length("content") / 4).alias("estimated"), tokens(F.col("content")).alias("actual"))
+    return incremental.calibration(rows, "kind", "chunk_id", "estimated", "actual").select("chunk_id", F.round("factor", 6).alias("factor"))
+
+
+QUERIES |= {f.__name__: f for f in (jsn05_copy_references, jsn05_call_targets, jsn29_completeness, txt13_preamble, oth31_java_outline, txt27_calibration)}
+ORACLE |= {
+    k: duck(v)
+    for k, v in {
+        "jsn05_copy_references": "SELECT DISTINCT upper(id) AS program, upper(trim(c)) AS copybook FROM (SELECT id, UNNEST(copybooks) AS c FROM program) WHERE trim(c) <> ''",
+        "jsn05_call_targets": "SELECT DISTINCT upper(id) AS src, upper(trim(c)) AS dst, false AS is_dynamic FROM (SELECT id, UNNEST(callees) AS c FROM program) WHERE trim(c) <> ''",
+        "txt27_calibration": """SELECT chunk_id, round(avg(CASE WHEN length(content) > 0 THEN (strlen(content) * 10 // 32) / (length(content) / 4.0::DOUBLE) END)
+  OVER (PARTITION BY lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) ORDER BY chunk_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 6) AS factor FROM chunk WHERE content IS NOT NULL""",
+    }.items()
+}
