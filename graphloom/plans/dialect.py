@@ -2,7 +2,7 @@
 
 ``TEXTS(x)``: the distinct values of a group, sorted, as one text; ``LISTED(x)``: all its values, sorted, as one text;
 ``UNNEST(x)``: a row per element; ``DIV(a, b)``: integer division; ``STRIP(x)``: blanks, quotes and full stops off both
-ends; ``BYTES(x)``: UTF-8 bytes; ``RX(x, p, r)``: replace every match; ``BIG(x)``: as a 64-bit integer.
+ends; ``BYTES(x)``: UTF-8 bytes; ``RX(x, p, r)``: replace every match; ``BIG(x)``: as a 64-bit integer; ``FOUND(x, p)``: all that the first group of a pattern matches, as an array.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ _SPARK = {
     "BYTES": "CAST(octet_length({0}) AS BIGINT)",
     "RX": "regexp_replace({0}, r{1}, {2})",
     "BIG": "CAST({0} AS BIGINT)",
+    "FOUND": "regexp_extract_all({0}, r{1}, 1)",
 }
 _DUCK = {
     "TEXTS": "coalesce(string_agg(DISTINCT CAST({0} AS VARCHAR), ',' ORDER BY CAST({0} AS VARCHAR)), '')",
@@ -28,6 +29,7 @@ _DUCK = {
     "BYTES": "CAST(strlen({0}) AS BIGINT)",
     "RX": "regexp_replace({0}, {1}, {2}, 'g')",
     "BIG": "CAST({0} AS BIGINT)",
+    "FOUND": "regexp_extract_all({0}, {1}, 1)",
 }
 _NAME = re.compile(r"\b(" + "|".join(_SPARK) + r")\(")
 

@@ -300,3 +300,26 @@ ORACLE |= {
   OVER (PARTITION BY lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) ORDER BY chunk_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 6) AS factor FROM chunk WHERE content IS NOT NULL""",
     }.items()
 }
+
+
+# --- fields and paragraphs of program texts
+
+
+def pth03_field_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that every moved field reaches within its program text in at most ten moves, with the least number of moves."""
+    moves = durable(view(spark, sf_dir, "move"))
+    keyed = moves.select(F.struct("doc_id", F.col("src").alias("field")).alias("key"), "src").distinct()
+    # the traversal's key is (text, field); edges are scoped to the text by prefixing fields with it
+    scoped = moves.select(F.concat_ws("|", "doc_id", "src").alias("src"), F.concat_ws("|", "doc_id", "dst").alias("dst"))
+    seeds = keyed.select(F.concat_ws("|", "key.doc_id", "src").alias("key"), F.concat_ws("|", "key.doc_id", "src").alias("node"))
+    met = traverse.reach(scoped, seeds, 10, restart=True)
+    part = lambda c, n: F.split(F.col(c), "[|]", 2)[n]
+    return met.select(part("key", 0).cast("long").alias("doc_id"), part("key", 1).alias("field"), part("node", 1).alias("reached"), "depth")
+
+
+QUERIES |= {"pth03_field_impact": pth03_field_impact}
+ORACLE |= {
+    "pth03_field_impact": duck("""WITH RECURSIVE walk(doc_id, field, reached, depth) AS (SELECT doc_id, src, dst, 1 FROM move
+  UNION SELECT w.doc_id, w.field, m.dst, w.depth + 1 FROM walk w JOIN move m ON m.doc_id = w.doc_id AND m.src = w.reached WHERE w.depth < 10)
+  SELECT doc_id, field, reached, min(depth)::INT AS depth FROM walk GROUP BY 1, 2, 3""")
+}

@@ -42,7 +42,25 @@ SQL = {
     "lst52_sessions": """SELECT s.id, max(s.title) AS title, max(s.updated_at) AS updated_at, BIG(count(DISTINCT m.id)) AS messages FROM (SELECT DISTINCT * FROM sessions) s LEFT JOIN message m ON m.session_id = s.id
       WHERE s.id IS NOT NULL GROUP BY s.id""",
     "lst53_session_prune": "SELECT id FROM (SELECT id, max(updated_at) AS updated_at FROM sessions GROUP BY id) x ORDER BY updated_at DESC NULLS LAST, id LIMIT 50",
+    "lst09_conditional_logic": "SELECT doc_id, field FROM test_of",
+    "lst12_sql_statements": "SELECT program, op, tab FROM accesses",
+    "lst15_data_flow": "SELECT doc_id, src, dst FROM move",
+    "lst21_volume_estimates": "SELECT id, CASE WHEN line_count >= 1500 THEN 'HIGH' WHEN line_count >= 500 THEN 'MEDIUM' ELSE 'LOW' END AS volume FROM program WHERE line_count IS NOT NULL",
+    "lst27_datasets_of_texts": "SELECT dsname, BIG(count(DISTINCT doc_id)) AS jobs, BIG(count(*)) AS cards FROM dataset_of GROUP BY dsname",
     # --- joins
+    "joi04_steps_to_programs": "SELECT DISTINCT e.doc_id, e.step, p.id AS program FROM exec_of e JOIN program p ON p.name = e.program",
+    "joi13_missing_moves": "SELECT d.doc_id FROM (SELECT DISTINCT doc_id FROM documents WHERE text LIKE '%PROGRAM-ID.%') d WHERE NOT EXISTS (SELECT 1 FROM move m WHERE m.doc_id = d.doc_id)",
+    "joi16_unlinked_files": "SELECT file_name FROM (SELECT DISTINCT file_name FROM chunk WHERE file_name IS NOT NULL) f WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.file_name = f.file_name AND c.chunk_index > 0)",
+    "joi18_similar_fields": """SELECT m.doc_id, m.src, m.dst FROM move m WHERE split_part(m.src, '-', 2) = split_part(m.dst, '-', 2) AND m.src <> m.dst""",
+    "agg12_coverage": """SELECT d.domain, BIG(count(*)) AS programs, BIG(sum(CASE WHEN x.program IS NOT NULL THEN 1 ELSE 0 END)) AS covered FROM domain d LEFT JOIN (SELECT DISTINCT program FROM accesses) x ON x.program = d.program GROUP BY d.domain""",
+    "agg13_corpus_dashboard": "SELECT 'documents' AS what, BIG(count(*)) AS n FROM documents UNION ALL SELECT 'moves', BIG(count(*)) FROM move UNION ALL SELECT 'performs', BIG(count(*)) FROM perform_of UNION ALL SELECT 'steps', BIG(count(*)) FROM exec_of UNION ALL SELECT 'data sets', BIG(count(*)) FROM dataset_of",
+    "nq09_performs_by_text": "SELECT doc_id, BIG(count(*)) AS performs, min(target) AS first_target FROM perform_of GROUP BY doc_id",
+    "nq10_programs_without_job": "SELECT id FROM program p WHERE NOT external AND NOT EXISTS (SELECT 1 FROM exec_of e WHERE e.program = p.name)",
+    "nq16_dangling_performs": "SELECT f.doc_id, f.target FROM perform_of f WHERE NOT EXISTS (SELECT 1 FROM paragraph_of p WHERE p.doc_id = f.doc_id AND p.name = f.target)",
+    "nq17_programs_by_risk": "SELECT id, risk FROM program WHERE risk > 0 ORDER BY risk DESC, id LIMIT 100",
+    "oth15_parent_level": "SELECT a.program, a.name, min(b.level) AS level FROM item a JOIN item b ON b.program = a.program AND b.name = a.name GROUP BY a.program, a.name",
+    "oth30_repeated_texts": "SELECT sha256_hex(text) AS sha256, BIG(count(*)) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY sha256_hex(text) HAVING count(*) > 1",
+    "oth57_messages_by_session": "SELECT session_id, BIG(count(*)) AS messages, BIG(sum(DIV(BYTES(coalesce(content, '')) * 10, 32))) AS tokens, min(seq) AS first_seq, max(seq) AS last_seq FROM message GROUP BY session_id",
     "joi01_shared_files": "SELECT w.program AS src, r.program AS dst, BIG(count(*)) AS files FROM writes w JOIN reads r ON r.file = w.file AND r.program <> w.program GROUP BY w.program, r.program",
     # a flow runs from every writer of a table to every reader: one row per end instead of one per pair
     "joi02_db2_flows": """SELECT DISTINCT a.tab, a.program, CASE WHEN a.op = 'SELECT' THEN 'reader' ELSE 'writer' END AS side, n.writers, n.readers FROM accesses a

@@ -48,6 +48,13 @@ VIEWS = {
     "queue_use": "SELECT DISTINCT user_id AS program, event_type AS queue, CASE WHEN value > 50 THEN 'WRITE' ELSE 'READ' END AS way FROM events",
     "chunk": "SELECT DISTINCT chunk_id, file_name, chunk_index, chunk_total, content FROM bw_chunks",
     "message": "SELECT DISTINCT id, session_id, lower(trim(role)) AS role, content, seq FROM session_messages WHERE session_id IS NOT NULL",
+    # what program and job control texts say
+    "move": "SELECT DISTINCT doc_id, split_part(m, ' TO ', 1) AS src, split_part(m, ' TO ', 2) AS dst FROM (SELECT doc_id, UNNEST(FOUND(text, 'MOVE ([A-Z0-9-]+ TO [A-Z0-9-]+)')) AS m FROM documents) u",
+    "test_of": "SELECT DISTINCT doc_id, m AS field FROM (SELECT doc_id, UNNEST(FOUND(text, 'IF ([A-Z0-9-]+) =')) AS m FROM documents) u",
+    "perform_of": "SELECT DISTINCT doc_id, m AS target FROM (SELECT doc_id, UNNEST(FOUND(text, 'PERFORM ([A-Z0-9-]+)')) AS m FROM documents) u",
+    "paragraph_of": "SELECT DISTINCT doc_id, m AS name FROM (SELECT doc_id, UNNEST(FOUND(text, '(?m)^ {7}([0-9][A-Z0-9-]+)[.]')) AS m FROM documents) u",
+    "exec_of": "SELECT DISTINCT doc_id, split_part(m, ' EXEC PGM=', 1) AS step, split_part(m, ' EXEC PGM=', 2) AS program FROM (SELECT doc_id, UNNEST(FOUND(text, '//([A-Z0-9]+ EXEC PGM=[A-Z0-9]+)')) AS m FROM documents) u",
+    "dataset_of": "SELECT DISTINCT doc_id, split_part(m, ' DD DSN=', 1) AS dd_name, split_part(m, ' DD DSN=', 2) AS dsname FROM (SELECT doc_id, UNNEST(FOUND(text, '//([A-Z0-9]+ DD DSN=[A-Z0-9.]+)')) AS m FROM documents) u",
 }
 _WORD = re.compile(r"\b[a-z_]+\b")
 
