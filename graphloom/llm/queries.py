@@ -80,6 +80,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the number of documents that contain a passage of it."""
+    hits = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf_dir, "eval_items").select("item_id").where("item_id is not null").distinct()
+    return items.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
+
+
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of 24 words within 2 word edits of an item's."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=24, edits=2, bits=10, recall=0.95)
@@ -128,7 +135,7 @@ def p9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_pieces, p6_found, p6_overlaps, p6_links, p7_found, p7_near, p8_found, p8_mix, p8_shares, p9_found, p9_subjects, p9_tokens)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_conversations, p3_found, p3_pieces, p6_found, p6_overlaps, p6_links, p7_found, p7_items, p7_near, p8_found, p8_mix, p8_shares, p9_found, p9_subjects, p9_tokens)}
 
 _SESSIONS = r"""
 WITH said AS (
