@@ -17,6 +17,9 @@ TOOLS: dict[str, tuple[str, str | None]] = {
     "get_dead_paragraphs": ("pth04_dead_paragraphs", "program"), "get_dead_code_summary": ("agg05_dead_code_summary", None), "get_migration_sequence": ("pth07_migration_sequence", None),
     "get_cross_codebase_calls": ("joi20_cross_codebase_calls", None), "get_shared_data_channels": ("agg06_shared_channels", None), "get_cross_program_data_flow": ("agg07_cross_program_flow", "program"),
     "get_file_accessors": ("agg08_file_accessors", "file"), "get_effort_estimates": ("agg04_effort", None), "get_validation_report": ("agg17_validation", None), "get_dashboard_stats": ("agg01_dashboard", None),
+    "get_program_conditional_logic": ("lst09_conditional_logic", "doc_id"), "get_program_sql": ("lst12_sql_statements", "program"), "get_data_flow": ("lst15_data_flow", "doc_id"), "list_volume_estimates": ("lst21_volume_estimates", None),
+    "trace_field_impact": ("pth03_field_impact", "field"), "get_gap_analysis": ("txt44_tagged_gaps", None), "list_business_gaps": ("txt44_tagged_gaps", "severity"), "get_gap_coverage_summary": ("agg12_coverage", None),
+    "get_target_stack_dashboard": ("agg13_corpus_dashboard", None), "list_modernization_candidates": ("pth07_migration_sequence", None), "get_program_source": ("lst50_program_paths", "id"),
     "get_data_hierarchy": ("txt31_data_hierarchy", "item_id"), "get_type_mappings": ("txt32_pic_types", "item_id"), "search_programs": ("fts01_search", None),
 }
 
@@ -28,3 +31,20 @@ def call(spark: SparkSession, sf_dir: str, tool: str, value: object = None) -> D
     query, column = TOOLS[tool]
     rows = queries()[query](spark, sf_dir)
     return rows.where(F.col(column) == F.lit(value)) if column and value is not None else rows
+
+
+def named_queries() -> list[str]:
+    """The named queries that ``run_named`` answers."""
+    from .registry import queries
+
+    return sorted(q for q in queries() if q.startswith("nq"))
+
+
+def run_named(spark: SparkSession, sf_dir: str, name: str, limit: int | None = None) -> DataFrame:
+    """A named query's rows, as many as an ad-hoc query may have."""
+    from ..operators.adhoc import clamp
+    from .registry import queries
+
+    if name not in named_queries():
+        raise KeyError(name)
+    return queries()[name](spark, sf_dir).limit(clamp(limit))

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from .dialect import spark_sql
+from .dialect import duck_sql, spark_sql
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "programs", "data_items", "call_targets",
@@ -100,7 +100,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run(spark, sf_dir, f"SELECT * FROM {name}")
 
 
-def duck(sql: str) -> str:
-    from .dialect import duck_sql
+def register(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All views of the graph as temporary views of the session, for ad-hoc SQL; returns their names."""
+    for name in VIEWS:
+        view(spark, sf_dir, name).createOrReplaceTempView(name)
+    return list(VIEWS)
+
 
+def duck(sql: str) -> str:
     return duck_sql(with_views(sql).replace("sequence_0_9()", "range(10)"))

@@ -96,6 +96,9 @@ def test_tools_and_dialects(spark):
     known = registry.queries()
     assert all(q in known for q, _ in tools.TOOLS.values())
     assert set(registry.oracle_sql()) <= set(known)
+    assert len(tools.named_queries()) >= 15
+    with pytest.raises(KeyError):
+        tools.run_named(spark, "nowhere", "lst01_programs")
     assert spark_sql("SELECT DIV(BYTES(x) * 10, 32), TEXTS(a || ',')") == "SELECT ((CAST(octet_length(x) AS BIGINT) * 10) div (32)), array_join(array_sort(collect_set(CAST(a || ',' AS STRING))), ',')"
     assert "string_agg(DISTINCT" in duck_sql("SELECT TEXTS(a)")
 
