@@ -323,3 +323,19 @@ ORACLE |= {
   UNION SELECT w.doc_id, w.field, m.dst, w.depth + 1 FROM walk w JOIN move m ON m.doc_id = w.doc_id AND m.src = w.reached WHERE w.depth < 10)
   SELECT doc_id, field, reached, min(depth)::INT AS depth FROM walk GROUP BY 1, 2, 3""")
 }
+
+_COUNT = "coalesce(list_sum(list_transform(regexp_extract_all({part}, '{symbol}(?:\\((\\d+)\\))?', 1), lambda x: CASE WHEN coalesce(x, '') = '' THEN 1 ELSE x::INT END)), 0)"
+ORACLE["txt32_pic_types"] = duck(
+    """WITH c AS (SELECT item_id, regexp_replace(upper(trim(picture)), '^PIC\\s*', '') AS p, coalesce(usage, '') AS u FROM item WHERE coalesce(picture, '') <> ''),
+  b AS (SELECT item_id, u, starts_with(p, 'S')::INT AS signed, regexp_replace(p, '^S', '') AS b FROM c),
+  n AS (SELECT *, WHOLE + FRACTION AS digits, FRACTION AS fraction, CHARS AS chars, LETTERS AS letters, contains(b, 'X') AS x, contains(b, 'A') AND NOT contains(regexp_replace(b, '\\(\\d+\\)', '', 'g'), '9') AS a FROM b),
+  k AS (SELECT *, CASE WHEN x OR a THEN 'S' WHEN u IN ('COMP-3', 'PACKED-DECIMAL') THEN 'P' WHEN u IN ('COMP', 'BINARY', 'COMP-4') THEN 'B' WHEN fraction > 0 THEN 'D' ELSE 'I' END AS kind FROM n)
+  SELECT item_id, CASE kind WHEN 'S' THEN 'String' WHEN 'P' THEN 'BigDecimal' WHEN 'D' THEN 'BigDecimal' WHEN 'B' THEN CASE WHEN digits <= 4 THEN 'short' WHEN digits <= 9 THEN 'int' ELSE 'long' END ELSE CASE WHEN digits <= 9 THEN 'int' ELSE 'long' END END AS java,
+    CASE kind WHEN 'S' THEN 'VARCHAR(' || CASE WHEN x THEN chars ELSE letters END || ')' WHEN 'B' THEN CASE WHEN digits <= 4 THEN 'SMALLINT' WHEN digits <= 9 THEN 'INTEGER' ELSE 'BIGINT' END WHEN 'I' THEN CASE WHEN digits <= 9 THEN 'INTEGER' ELSE 'BIGINT' END
+      ELSE 'DECIMAL(' || digits || ',' || fraction || ')' END AS sql, CASE kind WHEN 'P' THEN 'PACKED_DECIMAL' WHEN 'B' THEN 'BINARY' ELSE 'DISPLAY' END AS storage,
+    (CASE kind WHEN 'S' THEN CASE WHEN x THEN chars ELSE letters END WHEN 'P' THEN (digits + signed + 1) // 2 WHEN 'B' THEN CASE WHEN digits <= 4 THEN 2 WHEN digits <= 9 THEN 4 ELSE 8 END ELSE digits + signed END)::INT AS bytes FROM k"""
+    .replace("WHOLE", _COUNT.format(part="split_part(b, 'V', 1)", symbol="9"))
+    .replace("FRACTION", _COUNT.format(part="split_part(b, 'V', 2)", symbol="9"))
+    .replace("CHARS", _COUNT.format(part="b", symbol="X"))
+    .replace("LETTERS", _COUNT.format(part="b", symbol="A"))
+)
