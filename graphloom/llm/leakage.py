@@ -61,18 +61,21 @@ def keys(symbols: np.ndarray, starts: np.ndarray, window: int, walk: Walk) -> np
     walk on together after an edit and agree in most places. The key hashes the sampled places.
     """
     at = starts.copy()
-    end = starts + window
+    last = starts + window
     key = np.zeros(len(starts), np.uint64)
     padded = np.append(symbols, np.uint64(0))
-    for step, sampled in zip(walk.steps, walk.sampled):
-        inside = at < end
+    ends = np.int64(len(symbols))  # where a window that is used up stays: the zero after all words
+    for j in range(max((j for j, x in enumerate(walk.sampled) if x), default=-1) + 1):
         now = padded[at]
-        now[~inside] = 0
-        if sampled:
+        if walk.sampled[j]:
             key ^= now
             key *= _MIX
             key ^= key >> np.uint64(29)
-        at += (((now * step) >> np.uint64(63)).astype(np.int64)) & inside
+        now *= walk.steps[j]
+        now >>= np.uint64(63)
+        at += now.view(np.int64)
+        if j >= window - 1:  # no window can be used up before
+            at[at == last] = ends
     return key
 
 
@@ -170,37 +173,57 @@ class Index:
             slots[np.fromiter(met, np.uint64, len(met)) & np.uint64(len(slots) - 1)] = True
         return slots
 
-    def hits(self, doc: list[str], symbols: np.ndarray) -> dict[int, int]:
-        """Item id -> least edit distance of a window pair of item and document that is within ``edits``."""
+    def hits(self, docs: list[list[str]], symbols: np.ndarray) -> dict[tuple[int, int], int]:
+        """(place in ``docs``, item id) -> least edit distance of a window pair within ``edits``; ``symbols`` are the words' hashes, end to end.
+
+        The windows of all documents are embedded together, so that a step costs little more than its arithmetic.
+        """
         n, best = self.window, {}
-        for lo in range(0, max(0, len(symbols) - n + 1), AT_ONCE):
-            part = np.arange(lo, min(lo + AT_ONCE, len(symbols) - n + 1))
+        sizes = np.array([len(d) for d in docs], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(docs)), np.maximum(sizes - n + 1, 0))
+        first = np.cumsum(np.maximum(sizes - n + 1, 0)) - np.maximum(sizes - n + 1, 0)
+        starts = np.arange(len(owner)) - first[owner] + begin[owner]
+        for lo in range(0, len(starts), AT_ONCE):
+            part = starts[lo : lo + AT_ONCE]
             for walk, (slots, met) in zip(self.walks, self.tables):
                 found = keys(symbols, part, n, walk)
                 for p in np.nonzero(slots[found & np.uint64(len(slots) - 1)])[0].tolist():
                     for item, at in met.get(int(found[p]), ()):
-                        i = self.ids[item]
-                        if best.get(i, self.edits + 1) == 0:
+                        k = int(owner[lo + p])
+                        pair = (k, self.ids[item])
+                        if best.get(pair, self.edits + 1) == 0:
                             continue
                         theirs = self.words[item][at : at + n]
-                        s = lo + p
-                        d = min(edit_distance(doc[s : s + n + x], theirs, self.edits) for x in range(-self.edits, self.edits + 1))
-                        if d < best.get(i, self.edits + 1):
-                            best[i] = d
+                        s = int(part[p] - begin[k])
+                        d = min(edit_distance(docs[k][s : s + n + x], theirs, self.edits) for x in range(-self.edits, self.edits + 1))
+                        if d <= self.edits and d < best.get(pair, self.edits + 1):
+                            best[pair] = d
         return best
 
 
 def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, kept = index.value, {}
+
+        def emit(ids: list[int], docs: list[list[str]], parts: list[np.ndarray]) -> pa.RecordBatch:
+            out = [(ids[k], item, d) for (k, item), d in ix.hits(docs, np.concatenate(parts)).items()] if docs else []
+            a, b, c = zip(*out) if out else ((),) * 3
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["doc_id", "item_id", "edits"])
+
+        ids, docs, parts, size = [], [], [], 0
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ws = words(text.as_py())
                 if len(ws) >= ix.window:
-                    out += [(doc_id, item, d) for item, d in ix.hits(ws, _hashes(ws, kept)).items()]
-            a, b, c = zip(*out) if out else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["doc_id", "item_id", "edits"])
+                    ids.append(doc_id)
+                    docs.append(ws)
+                    parts.append(_hashes(ws, kept))
+                    size += len(ws)
+                    if size >= AT_ONCE:
+                        yield emit(ids, docs, parts)
+                        ids, docs, parts, size = [], [], [], 0
+        yield emit(ids, docs, parts)
 
     return run
 
