@@ -31,8 +31,9 @@ def join_continuations(text: Column) -> Column:
 
 def division(text: Column, name: str) -> Column:
     """The text of one division; of several with one header the last, null if there is none. A text without any header is all PROCEDURE."""
-    header = r"(?im)^[ \t0-9]{0,11}(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)[ \t]+DIVISION\b[^\n]*"
-    parts = F.regexp_extract_all(text, F.lit(header + r"(?s:.*?)(?=\Z|^[ \t0-9]{0,11}(?:IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)[ \t]+DIVISION\b)"), F.lit(0))
+    begins = r"^[ \t0-9]{0,11}(" + "|".join(DIVISIONS) + r")[ \t]+DIVISION\b"
+    header = "(?im)" + begins + r"[^\n]*"
+    parts = F.regexp_extract_all(text, F.lit(header + r"(?s:.*?)(?=\Z|" + begins + ")"), F.lit(0))
     mine = F.filter(parts, lambda p: F.upper(F.regexp_extract(p, header, 1)) == name)
     whole = F.when(F.size(parts) == 0, text) if name == "PROCEDURE" else F.lit(None).cast("string")
     return F.coalesce(F.try_element_at(mine, F.lit(-1)), whole)
