@@ -8,6 +8,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ PASS_WORDS = 2_000_000
 AT_ONCE = 1 << 18
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 1 << 20
+#: A recall that needs more walks is refused, not missed.
+MOST_WALKS = 1000
 _WORD = re.compile("[a-z0-9]+")
 _GONE = {0xAD: None, 0x200B: None}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -111,39 +114,59 @@ def _hashes(ws: list[str], kept: dict[str, int]) -> np.ndarray:
     return out
 
 
-def repetitions(symbols: list[np.ndarray], window: int, edits: int, bits: int, recall: float, seed: int, trials: int = 400) -> int:
-    """Walks needed so that a window within ``edits`` word edits is met with probability ``recall`` in at least one.
+def _planted(symbols: list[np.ndarray], window: int, edits: int, trials: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(items, texts), a row per trial: a window of an item, and the same with ``edits`` edits at random places, other words around it.
 
-    One suffices for equal windows, whose keys are equal. Else the chance of meeting is measured on ``trials`` windows of
-    the items themselves, each with ``edits`` random edits, over a few walks.
+    The mixtures of substitutions, insertions and deletions take equal parts, ``trials`` rows each, one after the other.
+    The passage begins at word ``edits`` of its text; its first word stays, for edits there are easily met one word on.
     """
-    if edits == 0:
-        return 1
-    rng = np.random.default_rng(seed + 1)
+    fresh = lambda n: rng.integers(1 << 62, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     long = [s for s in symbols if len(s) >= window]
-    if not long:
-        return 1
-    met = tried = 0
-    for walk in walks(window, bits, 8, seed + 2):
-        for _ in range(trials // 8):
+    asked, texts = [], []
+    for mixture in combinations_with_replacement("sid", min(edits, window - 1)):
+        for _ in range(trials):
             s = long[rng.integers(len(long))]
             at = int(rng.integers(len(s) - window + 1))
-            a = list(s[at : at + window])
-            b = list(a)
-            for _ in range(edits):
-                k, p = rng.integers(3), int(rng.integers(len(b)))
-                if k == 0:
-                    b[p] = np.uint64(rng.integers(1 << 62))
-                elif k == 1:
-                    b.insert(p, np.uint64(rng.integers(1 << 62)))
-                elif len(b) > 1:
+            b = s[at : at + window].tolist()
+            places = (1 + rng.choice(window - 1, size=len(mixture), replace=False)).tolist()
+            for p, kind in sorted(zip(places, rng.permutation(list(mixture))), reverse=True):
+                if kind == "s":
+                    b[p] = int(fresh(1)[0])
+                elif kind == "i":
+                    b.insert(p, int(fresh(1)[0]))
+                else:
                     del b[p]
-            b = (b + [np.uint64(0)] * edits)[:window]
-            both = np.array(a + b, np.uint64)
-            x = keys(both, np.array([0, window], np.int64), window, walk)
-            met, tried = met + int(x[0] == x[1]), tried + 1
-    p = max(met, 1) / tried
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
+            asked.append(s[at : at + window])
+            texts.append(np.concatenate([fresh(edits), np.array(b, np.uint64), fresh(3 * edits)])[: window + 3 * edits])
+    return np.array(asked), np.array(texts)
+
+
+def repetitions(symbols: list[np.ndarray], window: int, edits: int, bits: int, recall: float, seed: int, trials: int = 400) -> int:
+    """Walks needed so that a passage of ``window`` words within ``edits`` word edits is met with probability ``recall`` in at least one.
+
+    One suffices for equal windows, whose keys are equal. Else the search itself is tried: passages of the items with
+    every mixture of edits, ``trials`` of each, within other words, are looked up with the very walks of ``seed``, one
+    walk after the other, until of the worst mixture, too, the share ``recall`` was met by at least one of them, with two
+    standard errors to spare.
+    """
+    if edits == 0 or not any(len(s) >= window for s in symbols):
+        return 1
+    asked, texts = _planted(symbols, window, edits, trials, np.random.default_rng(seed + 1))
+    flat, starts = asked.ravel(), np.arange(len(asked)) * window
+    around, width = texts.ravel(), texts.shape[1]
+    near = (np.arange(len(texts)) * width)[:, None] + np.arange(2 * edits + 1)
+    met, n = np.zeros(len(asked), bool), 0
+    while (share := met.reshape(-1, trials).mean(axis=1).min()) - 2 * math.sqrt(share * (1 - share) / trials) < recall:
+        if n == MOST_WALKS:
+            raise ValueError(f"{MOST_WALKS} walks with {bits} bits don't reach a recall of {recall}")
+        walk = walks(window, bits, n + 1, seed)[n]
+        n += 1
+        same = (keys(around, near.ravel(), window, walk).reshape(near.shape) == keys(flat, starts, window, walk)[:, None]) & ~met[:, None]
+        for t, s in zip(*(x.tolist() for x in np.nonzero(same))):
+            if not met[t]:
+                theirs, ours = asked[t].tolist(), texts[t].tolist()
+                met[t] = min(edit_distance(ours[s : s + window + x], theirs, edits) for x in range(-edits, edits + 1)) <= edits
+    return n
 
 
 class Index:
@@ -196,6 +219,8 @@ class Index:
                             continue
                         theirs = self.words[item][at : at + n]
                         s = int(part[p] - begin[k])
+                        if len(set(theirs).difference(docs[k][s : s + n + self.edits])) > self.edits:
+                            continue  # each of these words costs an edit
                         d = min(edit_distance(docs[k][s : s + n + x], theirs, self.edits) for x in range(-self.edits, self.edits + 1))
                         if d <= self.edits and d < best.get(pair, self.edits + 1):
                             best[pair] = d

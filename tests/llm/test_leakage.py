@@ -1,6 +1,8 @@
 import random
 
-from graphloom.llm.leakage import edit_distance, leaks, words
+import numpy as np
+
+from graphloom.llm.leakage import Index, _hashes, edit_distance, leaks, words
 
 
 def test_words():
@@ -61,5 +63,24 @@ def test_edited_passages_reach_the_recall(spark):
     assert len(found) >= 0.9 * len(docs)
 
 
+def test_every_kind_of_edit_reaches_the_recall():
+    rng = random.Random(12)
+    vocab = [f"w{n}" for n in range(4000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, " ".join(some(60))) for k in range(150)]
+    index = Index(items, window=24, edits=2, bits=10, recall=0.95, seed=7)
+    for kinds in ("ss", "ii", "dd", "si", "sd", "id"):
+        docs = []
+        for _, t in items:
+            at = rng.randrange(36)
+            w = t.split()[at : at + 24]
+            for p, kind in zip(sorted(rng.sample(range(1, 24), 2), reverse=True), kinds):
+                w[p : p + (kind != "i")] = [] if kind == "d" else ["other"]
+            docs.append(some(30) + w + some(30))
+        hits = index.hits(docs, _hashes([x for d in docs for x in d], {}))
+        assert sum((k, k) in hits for k in range(len(docs))) >= 0.91 * len(docs), kinds
+        assert all(d <= 2 for d in hits.values())
+
+
 def test_edit_distance():
     assert edit_distance(list("kitten"), list("sitting"), 3) == 3 and edit_distance(list("kitten"), list("sitting"), 2) == 3 and edit_distance([], [], 0) == 0
