@@ -83,13 +83,15 @@ def src35_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "programs").select("program_id", "ingested_at", F.sha2(F.concat_ws("|", F.coalesce("file_path", F.lit("")), F.col("line_count").cast("string"), F.array_join("callees", ",")), 256).alias("hash"))
+    rows = table(spark, sf_dir, "programs")
+    whole = F.to_json(F.struct(*[c for c in rows.columns if c not in ("program_id", "ingested_at")]))
+    rows = rows.select("program_id", "ingested_at", F.sha2(whole, 256).alias("hash"))
     pick = lambda f: rows.groupBy("program_id").agg(f("hash", "ingested_at").alias("hash"))
     return pick(F.max_by), pick(F.min_by)
 
 
 def inc02_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programs whose latest row differs from their first."""
+    """Programs whose latest row differs from their first in any column but the time of ingestion."""
     now, then = _versions(spark, sf_dir)
     return incremental.changed(now, then, ["program_id"]).select("program_id")
 
