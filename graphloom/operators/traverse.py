@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, restart: bool = False, limit_rounds: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, hops: int, restart: bool = False, limit_rounds: int | None = None, paths: bool = True) -> DataFrame:
     """(key, node, depth, path): nodes met from the seeds within ``hops``, with the least number of hops and the smallest
     shortest path.
 
     ``edges``: src, dst; an optional column ``key`` keeps edges to the traversal of that key. ``seeds``: key, node. Each
     hop joins the frontier with the edges and drops what was seen under the same key, so cycles end by themselves.
     ``restart`` lets a seed be met again (then with its first return), else seeds stand at depth 0. Null ends never
-    match; no seeds give no rows.
+    match; no seeds give no rows. Without ``paths`` the column path is left out, which spares most of what is shuffled.
     """
     scoped = "key" in edges.columns
     e = edges.where("src is not null and dst is not null").select(*(["key"] if scoped else []), "src", "dst").distinct()
-    frontier = durable(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("node")))
+    path = ["path"] if paths else []
+    frontier = durable(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("node")).select("key", "node", "depth", *path))
     seen = None if restart else frontier
     for hop in range(1, hops + 1):
         on = [frontier["node"] == e["src"]] + ([frontier["key"] == e["key"]] if scoped else [])
-        step = frontier.join(e, on).select(frontier["key"], e["dst"].alias("node"), frontier["path"])
-        step = step.groupBy("key", "node").agg(F.min("path").alias("path"))
+        step = frontier.join(e, on).select(frontier["key"], e["dst"].alias("node"), *[frontier[c] for c in path])
+        step = step.groupBy("key", "node").agg(F.min("path").alias("path")) if paths else step.distinct()
         if seen is not None:
             step = step.join(seen.select("key", "node"), ["key", "node"], "left_anti")
-        frontier = durable(step.select("key", "node", F.lit(hop).alias("depth"), F.concat("path", F.array("node")).alias("path")))
+        frontier = durable(step.select("key", "node", F.lit(hop).alias("depth"), *[F.concat(c, F.array("node")).alias(c) for c in path]))
         if frontier.isEmpty():
             break
         seen = frontier if seen is None else seen.unionByName(frontier)

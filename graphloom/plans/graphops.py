@@ -13,7 +13,8 @@ from ..sources import extraction
 from ..streaming import streams
 from .views import duck, run, view
 
-CHAIN = 3
+#: Hops of a call chain unless the caller asks for more, and of an impact analysis or a path.
+CHAIN, IMPACT = 3, 5
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,19 +26,38 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pth01_call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every program's callees within three hops, with the least depth."""
-    met = traverse.reach(_calls(spark, sf_dir), _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node")), CHAIN)
-    return met.where("depth > 0").select(F.col("key").alias("program"), F.col("node").alias("callee"), "depth")
+    """Every program's callees (downstream) and callers (upstream) within three hops, with the least depth."""
+    met = traverse.reach(_calls(spark, sf_dir), _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node")), CHAIN, paths=False).where("depth > 0")
+    # whoever calls at a depth is called at that depth, so one traversal gives both directions
+    way = lambda program, other, direction: met.select(F.col(program).alias("program"), F.col(other).alias("other"), "depth", F.lit(direction).alias("direction"))
+    return way("key", "node", "downstream").unionByName(way("node", "key", "upstream"))
 
 
 def pth02_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many programs lie within two hops down and up; a program on a cycle counts itself."""
-    calls = _calls(spark, sf_dir)
-    seeds = _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node"))
-    count = lambda e, name: traverse.reach(e, seeds, 2, restart=True).groupBy("key").agg(F.count(F.lit(1)).alias(name))
-    down, up = count(calls, "down"), count(calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "up")
-    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return seeds.select("key").join(down, "key", "left").join(up, "key", "left").select(F.col("key").alias("program"), n("down").alias("down"), n("up").alias("up"), (n("down") + n("up")).alias("total"))
+    """The programs within five hops down and up, a program on a cycle among its own, and the copybooks and files shared with another program.
+
+    Files are the data sets of the job steps that run the program, for the orders that stand for files belong to parts.
+    """
+    ids = _ids(spark, sf_dir).select(F.col("id").alias("program"))
+    met = traverse.reach(_calls(spark, sf_dir), ids.select(F.col("program").alias("key"), F.col("program").alias("node")), IMPACT, restart=True, paths=False)
+    listed = lambda rows, program, other, name: rows.groupBy(F.col(program).alias("program")).agg(F.array_sort(F.collect_set(other)).alias(name))
+    shared = lambda rows, other: rows.join(rows.groupBy(other).agg(F.count_distinct("program").alias("n")).where("n > 1").select(other), other)
+    names = ["downstream", "upstream", "shared_copybooks", "shared_files"]
+    parts = [listed(met, "key", "node", names[0]), listed(met, "node", "key", names[1])]
+    parts += [listed(shared(rows, c), "program", c, name) for rows, c, name in ((view(spark, sf_dir, "includes"), "copybook", names[2]), (_step_files(spark, sf_dir), "dsname", names[3]))]
+    out = ids
+    for part in parts:
+        out = out.join(part, "program", "left")
+    out = out.select("program", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in names])
+    n = lambda c: F.size(c).cast("long")
+    return out.select("program", n("downstream").alias("down"), n("upstream").alias("up"), (n("downstream") + n("upstream")).alias("total"), *[F.array_join(c, ",").alias(c) for c in names])
+
+
+def _step_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(program, dsname): the data sets whose cards follow an EXEC card of the program, before the next one."""
+    steps = table(spark, sf_dir, "documents").where("text like '% EXEC PGM=%'").select(F.explode(F.split("text", "(?=//[A-Z0-9]+ EXEC PGM=)")).alias("step"))
+    cards = steps.select(F.regexp_extract("step", "^//[A-Z0-9]+ EXEC PGM=([A-Z0-9]+)", 1).alias("name"), F.explode(F.regexp_extract_all("step", F.lit("//[A-Z0-9]+ DD DSN=([A-Z0-9.]+)"), 1)).alias("dsname"))
+    return cards.distinct().join(view(spark, sf_dir, "program").select("name", F.col("id").alias("program")), "name").select("program", "dsname").distinct()
 
 
 def pth04_dead_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +67,8 @@ def pth04_dead_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pth06_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortest path from every program to each callee within three hops; of several the smallest."""
-    met = traverse.reach(_calls(spark, sf_dir), _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node")), CHAIN)
+    """A shortest path from every program to each callee within five hops; of several the smallest."""
+    met = traverse.reach(_calls(spark, sf_dir), _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node")), IMPACT)
     return met.where("depth > 0").select(F.col("key").alias("program"), F.col("node").alias("callee"), F.array_join("path", " > ").alias("path"))
 
 

@@ -29,3 +29,41 @@ def test_a_change_in_any_column_is_a_change(spark, tmp_path):
     rows += [program("nulls", 0, copybooks=["A"]), program("nulls", 1, copybooks=["A", None]), program("parts", 0, callees=["A,B"]), program("parts", 1, callees=["A", "B"])]
     got = ask(spark, tmp_path, "inc02_changed", programs=(rows, PROGRAM))
     assert sorted(r.program_id for r in got) == sorted([*changes, "nulls", "parts"])
+
+
+CALLS = "program_id string, target string, from_paragraph string, is_dynamic boolean"
+
+
+def test_paths_and_impact_reach_five_hops(spark, tmp_path):
+    pairs = {(f"P{n}", f"P{n + 1}") for n in range(7)} | {("P6", "P4"), ("Q", "P1"), ("Q", "Q"), ("P0", "P2")}
+    names = sorted({x for pair in pairs for x in pair} | {"LONE"})
+    books = {"P0": ["A", "B"], "P7": ["b.cpy", "C"], "Q": ["C", None], "LONE": ["D"]}
+    card = lambda p, *files: "".join([f"//S EXEC PGM={p}\n", *[f"//DD1 DD DSN={x},DISP=SHR\n" for x in files]])
+    texts = [card("P0", "F.ONE", "F.TWO") + card("Q", "F.TWO"), card("P7", "F.ONE") + card("GONE", "F.NONE"), "//DD0 DD DSN=F.LOOSE\n" + card("LONE", "F.OWN", "F.OWN"), None]
+    tables = {
+        "programs": ([program(n, copybooks=books.get(n)) for n in names], PROGRAM),
+        "call_targets": ([(a, b, None, False) for a, b in pairs] + [("P0", "UNKNOWN", None, False)], CALLS),
+        "documents": (list(enumerate(texts)), "doc_id long, text string"),
+    }
+
+    def met(start, hops):
+        level, out = {(start,)}, {}
+        for _ in range(hops):
+            level = {(*p, b) for p in level for a, b in pairs if a == p[-1]}
+            for p in sorted(level, key=lambda p: (len(p), p)):
+                out.setdefault(p[-1], p)
+        return out
+
+    down = {n: met(n, 5) for n in names}
+    got = {r.program: r for r in ask(spark, tmp_path, "pth02_impact", **tables)}
+    assert sorted(got) == names
+    for n in names:
+        r, up = got[n], [m for m in names if n in down[m]]
+        assert (r.downstream, r.upstream, r.down, r.up, r.total) == (",".join(sorted(down[n])), ",".join(up), len(down[n]), len(up), len(down[n]) + len(up))
+    assert {n: (r.shared_copybooks, r.shared_files) for n, r in got.items() if r.shared_copybooks or r.shared_files} == {"P0": ("B", "F.ONE,F.TWO"), "P7": ("B,C", "F.ONE"), "Q": ("C", "F.TWO")}
+    paths = registry.queries()["pth06_shortest_path"](spark, str(tmp_path)).collect()
+    assert {(r.program, r.callee): r.path for r in paths} == {(n, m): " > ".join(p) for n in names for m, p in down[n].items() if m != n} and max(r.path.count(">") for r in paths) == 5
+    chain = registry.queries()["pth01_call_chain"](spark, str(tmp_path)).collect()
+    want = {(n, m, len(p) - 1) for n in names for m, p in met(n, 3).items() if m != n}
+    assert {(r.program, r.other, r.depth) for r in chain if r.direction == "downstream"} == want
+    assert {(r.other, r.program, r.depth) for r in chain if r.direction == "upstream"} == want and len(chain) == 2 * len(want)
