@@ -218,9 +218,10 @@ def mut01_mark_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mut03_revive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted programs count as dead unless a sourced program calls them."""
+    """Deleted programs count as dead unless a job runs them or a sourced program calls them."""
     rows = view(spark, sf_dir, "program").select("id", "file_path", F.col("deleted_at").isNotNull().alias("dead"))
-    return repair.revive(rows, view(spark, sf_dir, "calls"), rows.select(F.col("id").alias("program")).limit(0)).select("id", "dead")
+    runs = run(spark, sf_dir, "SELECT DISTINCT p.id AS program FROM exec_of e JOIN program p ON p.name = e.program")
+    return repair.revive(rows, view(spark, sf_dir, "calls"), runs).select("id", "dead")
 
 
 def mut05_link_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

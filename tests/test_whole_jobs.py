@@ -67,3 +67,14 @@ def test_paths_and_impact_reach_five_hops(spark, tmp_path):
     want = {(n, m, len(p) - 1) for n in names for m, p in met(n, 3).items() if m != n}
     assert {(r.program, r.other, r.depth) for r in chain if r.direction == "downstream"} == want
     assert {(r.other, r.program, r.depth) for r in chain if r.direction == "upstream"} == want and len(chain) == 2 * len(want)
+
+
+def test_what_a_job_runs_is_not_dead(spark, tmp_path):
+    gone = {"deleted_at": DAY}
+    rows = [program("A"), program("CALLED", **gone), program("CB::RUN", **gone), program("IDLE", **gone), program("BARE", file_path=None), program("BELOW", **gone), program("BOTH", **gone)]
+    got = ask(
+        spark, tmp_path, "mut03_revive", programs=(rows, PROGRAM), call_targets=([("A", "CALLED", None, False), ("BARE", "BELOW", None, False), ("A", "BOTH", None, False)], CALLS),
+        documents=([(1, "//S1 EXEC PGM=RUN\n//S2 EXEC PGM=BOTH\n//S3 EXEC PGM=NONE"), (2, "//S1 EXEC PGM=RUN"), (3, None), (4, "IDLE")], "doc_id long, text string"),
+        orders=([], "o_orderkey long, o_orderpriority string"), lineitem=([], "l_orderkey long, l_linenumber int, l_partkey long"),
+    )
+    assert {r.id: r.dead for r in got} == {"A": False, "CALLED": False, "CB::RUN": False, "IDLE": True, "BARE": False, "BELOW": True, "BOTH": False} and len(got) == 7
