@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 _FENCE = re.compile(r"^\s*```[^\n]*\n|\n?```\s*$")
 #: A string, a comment, or a comma that closes nothing: alternatives are tried in this order, so strings are never touched.
 _PIECE = re.compile(r'("(?:[^"\\]|\\.)*(?:"|\Z))|//[^\n]*|/\*.*?(?:\*/|\Z)|,(?=\s*[}\]])', re.S)
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
-#: How many element ends are tried, from the last one back.
-TRIES = 12
+_TOKEN = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+)', re.S)
 
 
 def clean(raw: str) -> str:
@@ -34,7 +32,7 @@ def recover(raw: str | None) -> str | None:
     """Valid JSON, as much of ``raw`` as can be kept; null if nothing can.
 
     A truncated text is cut back to the end of an element, the latest that gives valid JSON, and closed: one pass over
-    the tokens keeps the open brackets at every such end.
+    the tokens follows the open brackets and what may come next, up to an unclosed string or whatever can't be JSON.
     """
     if not raw:
         return None
@@ -44,27 +42,46 @@ def recover(raw: str | None) -> str | None:
         return s
     except ValueError:
         pass
-    open_, ends = [], []
-    for m in _TOKEN.finditer(s):
-        t = m[0]
-        if t in "{[":
-            open_.append("}" if t == "{" else "]")
-            ends.append((m.end(), "".join(reversed(open_))))
-        elif t in "}]":
-            if not open_ or open_.pop() != t:
+    open_, state, end, at = [], "value", None, 0
+    while state != "done" and (m := _TOKEN.match(s, at)):
+        t, at = m[1], m.end()
+        if t in "}]":
+            # after an opening bracket or a value; a comma or colon before leaves an element unfinished
+            if state not in ("first key", "first", "next") or open_[-1] != t:
+                break
+            open_.pop()
+        elif state == "next":
+            if t != ",":
+                break
+            state = "key" if open_[-1] == "}" else "value"
+            continue
+        elif state == "colon":
+            if t != ":":
+                break
+            state = "value"
+            continue
+        elif state in ("first key", "key"):
+            if t[0] != '"' or not _valid(t):
                 break
-            ends.append((m.end(), "".join(reversed(open_))))
-        elif t == ",":
-            ends.append((m.start(), "".join(reversed(open_))))
-        elif t != ":":
-            ends.append((m.end(), "".join(reversed(open_))))
-    for end, closing in list(reversed(ends))[:TRIES]:
-        try:
-            json.loads(s[:end] + closing)
-            return s[:end] + closing
-        except ValueError:
+            state = "colon"
             continue
-    return None
+        elif t in "{[":
+            open_.append("}" if t == "{" else "]")
+            state, end = "first key" if t == "{" else "first", at
+            continue
+        elif not _valid(t):
+            break
+        # a value is complete
+        state, end = "next" if open_ else "done", at
+    return None if end is None else s[:end] + "".join(reversed(open_))
+
+
+def _valid(token: str) -> bool:
+    try:
+        json.loads(token)
+        return True
+    except ValueError:
+        return False
 
 
 @F.pandas_udf(T.StringType())

@@ -115,6 +115,40 @@ def test_any_truncation_of_json_recovers(value, data):
         assert json.loads(got) == {"k": value}
 
 
+def test_a_long_string_cut_off_costs_only_itself():
+    cut = '{"gaps": [{"id": "G1", "title": "ok"}, {"id": "G2", "title": "' + "one of very many words, [so] {to} say: " * 40
+    assert json.loads(recover(cut)) == {"gaps": [{"id": "G1", "title": "ok"}, {"id": "G2"}]}
+    assert json.loads(recover('{"a": [1, 2], "b": ' + "x " * 50)) == {"a": [1, 2]}
+
+
+def closed_at_any_place(text):
+    """The longest valid JSON that ends with an element of the text, all its prefixes and closings tried."""
+    for end in range(len(text), 0, -1):
+        open_, quoted, escaped = [], False, False
+        for c in text[:end]:
+            if quoted:
+                quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                open_.append("}" if c == "{" else "]")
+            elif c in "}]":
+                open_.pop()
+        try:
+            return json.loads(text[:end] + "".join(reversed(open_)))
+        except ValueError:
+            continue
+    return None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.text(alphabet='ab "\\\\{}[],:/', max_size=60), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=12), st.data())
+def test_recovery_loses_no_element(value, data):
+    text = json.dumps({"k": value})
+    cut = text[: data.draw(st.integers(1, len(text)))]
+    assert json.loads(recover(cut)) == closed_at_any_place(cut)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab é\n#.", max_size=600), st.sampled_from(["md", "java", "txt", "cbl"]), st.integers(10, 40))
 def test_packing_keeps_the_limit_and_all_words(text, kind, limit):
