@@ -78,3 +78,17 @@ def test_what_a_job_runs_is_not_dead(spark, tmp_path):
         orders=([], "o_orderkey long, o_orderpriority string"), lineitem=([], "l_orderkey long, l_linenumber int, l_partkey long"),
     )
     assert {r.id: r.dead for r in got} == {"A": False, "CALLED": False, "CB::RUN": False, "IDLE": True, "BARE": False, "BELOW": True, "BOTH": False} and len(got) == 7
+
+
+def test_tags_are_stripped_whatever_the_line_ends(spark, tmp_path):
+    texts = ["<b>a</b>\r\n<i>b</i>\r\n", " \t x <br\nclass='y'> z\x85\r", "kept <b>bold</b> then <i unclosed and all the rest", "a > b", "<a<b>c>d", "\r\r", "", "no tags", None, "<only", "x\r<y\r>z\n\n"]
+    got = ask(spark, tmp_path, "src25_strip_tags", bw_chunks=([(n, "f.md", t, 0, 1) for n, t in enumerate(texts)], "chunk_id long, file_name string, content string, chunk_index int, chunk_total int"))
+
+    def stripped(text):
+        out, inside = "", False
+        for c in text:
+            inside = c == "<" or inside and c != ">"
+            out += "" if inside or c == ">" else c
+        return out.strip()
+
+    assert {r.chunk_id: r.text for r in got} == {n: stripped(t) for n, t in enumerate(texts) if t is not None}
