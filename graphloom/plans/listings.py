@@ -154,6 +154,11 @@ def _query(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What the queries run where the statement above, which stays as DuckDB's, does less than the whole job.
 WHOLE = {
+    # one row per end, as in joi02; an end counts only where another program stands on the other side
+    "joi05_queue_flows": """SELECT u.queue, u.program, CASE WHEN u.way = 'WRITE' THEN 'writer' ELSE 'reader' END AS side, n.writers, n.readers FROM queue_use u
+      JOIN (SELECT queue, BIG(count(DISTINCT CASE WHEN way = 'WRITE' THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN way = 'READ' THEN program END)) AS readers FROM queue_use GROUP BY queue) n ON n.queue = u.queue
+      LEFT JOIN (SELECT queue, program FROM queue_use GROUP BY queue, program HAVING count(DISTINCT way) = 2) b ON b.queue = u.queue AND b.program = u.program
+      WHERE u.program IS NOT NULL AND CASE WHEN u.way = 'WRITE' THEN n.readers ELSE n.writers END > CASE WHEN b.program IS NULL THEN 0 ELSE 1 END""",
     # a tag that isn't closed goes on to the end, a '>' outside of tags goes too; then white space off both ends
     "src25_strip_tags": r"SELECT chunk_id, RX(RX(content, '<[^>]*>?|>', ''), '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z', '') AS text FROM chunk WHERE content IS NOT NULL",
 }

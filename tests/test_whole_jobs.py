@@ -92,3 +92,13 @@ def test_tags_are_stripped_whatever_the_line_ends(spark, tmp_path):
         return out.strip()
 
     assert {r.chunk_id: r.text for r in got} == {n: stripped(t) for n, t in enumerate(texts) if t is not None}
+
+
+def test_queues_flow_between_different_programs(spark, tmp_path):
+    uses = {(1, "q", "WRITE"), (2, "q", "READ"), (2, "q", "WRITE"), (3, "q", "READ"), (4, "alone", "READ"), (4, "alone", "WRITE"), (5, "unread", "WRITE"), (6, "mixed", "WRITE"), (6, "mixed", "READ"), (7, "mixed", "READ"), (None, "unread", "READ"), (8, None, "READ"), (9, None, "WRITE")}
+    rows = [(p, q, 90.0 if way == "WRITE" else 10.0) for p, q, way in uses for _ in range(2)]
+    got = ask(spark, tmp_path, "joi05_queue_flows", events=(rows, "user_id long, event_type string, value double"), programs=([], PROGRAM))
+    flows = {(q, a, b) for a, q, w in uses for b, p, r in uses if q and q == p and w == "WRITE" and r == "READ" and a and b and a != b}
+    ends = {(q, a, "writer") for q, a, _ in flows} | {(q, b, "reader") for q, _, b in flows}
+    count = lambda q, way: len({p for p, x, w in uses if x == q and w == way and p})
+    assert sorted(map(tuple, got)) == sorted((q, p, side, count(q, "WRITE"), count(q, "READ")) for q, p, side in ends)
