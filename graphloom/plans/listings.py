@@ -154,6 +154,7 @@ def _query(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What the queries run where the statement above, which stays as DuckDB's, does less than the whole job.
 WHOLE = {
+    "lst23_business_domain": "SELECT domain, TEXTS(program) AS programs FROM domain GROUP BY domain",
     # one row per end, as in joi02; an end counts only where another program stands on the other side
     "joi05_queue_flows": """SELECT u.queue, u.program, CASE WHEN u.way = 'WRITE' THEN 'writer' ELSE 'reader' END AS side, n.writers, n.readers FROM queue_use u
       JOIN (SELECT queue, BIG(count(DISTINCT CASE WHEN way = 'WRITE' THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN way = 'READ' THEN program END)) AS readers FROM queue_use GROUP BY queue) n ON n.queue = u.queue

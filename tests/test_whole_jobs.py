@@ -102,3 +102,8 @@ def test_queues_flow_between_different_programs(spark, tmp_path):
     ends = {(q, a, "writer") for q, a, _ in flows} | {(q, b, "reader") for q, _, b in flows}
     count = lambda q, way: len({p for p, x, w in uses if x == q and w == way and p})
     assert sorted(map(tuple, got)) == sorted((q, p, side, count(q, "WRITE"), count(q, "READ")) for q, p, side in ends)
+
+
+def test_every_business_domain_has_its_programs(spark, tmp_path):
+    got = ask(spark, tmp_path, "lst23_business_domain", programs=([program(n) for n in ("ABCX", "ABDX", "CBCX")] + [program("OUT", is_external=True)], PROGRAM))
+    assert {r.domain: r.programs for r in got} == {"letter A": "ABCX,ABDX", "letter C": "CBCX", "kind BC": "ABCX,CBCX", "kind BD": "ABDX"}
