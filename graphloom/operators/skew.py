@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = 1 / 256) -> list[tuple]:
+def heavy_keys(df: DataFrame, keys: list[str], share: float = 1 / 256, total: int | None = None) -> list[tuple]:
     """Keys holding at least ``share`` of the rows, with their counts; at most ``1 / share`` rows come to the driver.
 
-    Null keys count as a key. An empty frame has no heavy keys.
+    ``total`` is the number of rows where the caller knows it; else it is summed from the same counts by a subquery
+    that shares their shuffle. Null keys count as a key. An empty frame has no heavy keys.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    top = counts.orderBy(F.desc("__n")).limit(int(1 / share)).collect()
-    if not top or len(top) < 2 and top[0]["__n"] < 2:
-        return []
-    total = df.count()
-    return [tuple(r) for r in top if r["__n"] >= max(2, share * total)]
+    rows = F.lit(total) if total is not None else counts.agg(F.sum("__n")).scalar()
+    return [tuple(r) for r in counts.where((F.col("__n") >= 2) & (F.col("__n") >= F.lit(share) * rows)).collect()]
 
 
 def split_table(spark: SparkSession, df: DataFrame, keys: list[str], heavy: list[tuple], splits: int) -> DataFrame:
@@ -62,6 +60,6 @@ def count_distinct_per_key(df: DataFrame, key: str, member: str, splits: int | N
     pairs = df.select(F.col(key).alias("__k"), F.col(member).alias("__m")).where("__k is not null and __m is not null")
     splits = splits or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heavy = heavy_keys(pairs, ["__k"], share)
-    once = salted(pairs, ["__k"], heavy, splits, F.col("__m")).repartition("__k", "__salt").groupBy("__k", "__salt", "__m").agg(F.lit(1).alias("__one"))
+    once = salted(pairs, ["__k"], heavy, splits, F.col("__m")).groupBy("__k", "__salt", "__m").agg(F.lit(1).alias("__one"))
     partial = once.groupBy("__k", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     return partial.groupBy(F.col("__k").alias(key)).agg(F.sum("__n").alias("n"))

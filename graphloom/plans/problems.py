@@ -33,15 +33,14 @@ def call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("key").agg(F.min("parent").alias("parent"), F.max("row").alias("row")).where("row").drop("row")
 
 
-def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hierarchy, node, parent, root, depth, path) of both kinds."""
-    data = forest(data_links(spark, sf_dir), "key", "parent", unique=True, complete=True)
-    call = forest(call_links(spark, sf_dir), "key", "parent", unique=True, complete=True)
-    return data.withColumn("hierarchy", F.lit("data")).unionByName(call.withColumn("hierarchy", F.lit("call")))
+def hierarchies(spark: SparkSession, sf_dir: str, paths: bool = True) -> DataFrame:
+    """(hierarchy, node, root, depth, parent, path) of both kinds, climbed together; the last two only with ``paths``."""
+    kinds = [links(spark, sf_dir).withColumn("hierarchy", F.lit(name)) for name, links in (("data", data_links), ("call", call_links))]
+    return forest(kinds[0].unionByName(kinds[1]), "key", "parent", unique=True, complete=True, paths=paths, scope="hierarchy")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = hierarchies(spark, sf_dir).where("depth >= 6 or depth is null")
+    placed = hierarchies(spark, sf_dir, paths=False).where("depth >= 6 or depth is null")
     return placed.select("hierarchy", F.col("node").alias("node_id"), F.coalesce("root", F.lit(-1).cast("long")).alias("root_id"), F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
@@ -52,8 +51,7 @@ def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (ancestor, descendant, distance)."""
-    placed = hierarchies(spark, sf_dir)
-    return ancestor_pairs(placed.where("hierarchy = 'data'")).withColumn("hierarchy", F.lit("data")).unionByName(ancestor_pairs(placed.where("hierarchy = 'call'")).withColumn("hierarchy", F.lit("call")))
+    return ancestor_pairs(hierarchies(spark, sf_dir), scope="hierarchy")
 
 
 # --- 4: orphan references
