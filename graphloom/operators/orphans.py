@@ -2,96 +2,122 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import durable
-from .skew import heavy_keys, replicated, salted
+from ..session import fresh_path, written
+from .skew import heavy_keys, split_table
 
 KEYS = ["kind", "key"]
+FOUND = "found"
+#: Keys of a period that are broadcast to the earlier parts; a period that moves more of them is joined by shuffle.
+SMALL_KEYS = 50_000
+
+
+def _folded(parents: DataFrame, by: list[str]) -> DataFrame:
+    """One row per key: its first arrival and its last version."""
+    return parents.groupBy(*by).agg(F.min("arrived").alias("arrived"), F.max("last").alias("last"))
 
 
-@dataclass
 class OrphanState:
-    """References and parents by key, and a log of verdicts: each period appends, nothing is written again.
+    """References, parents and verdicts as tables of the shared folder, a part per period; a period appends its part.
 
-    ``refs``: ref_id, kind, key, at, period, __salt. ``parents``: kind, key, arrived, stamp, deleted_at, period, __salt.
-    ``log``: a frame of (ref_id, status, period) per period done; the verdict of the latest period holds.
+    ``refs``: ref_id, kind, key, at, hot, period. ``parents``: kind, key, arrived, last, hot, period, a row per key and
+    period; over the periods so far they are the parent index. Nothing that stands is written again.
     """
 
-    refs: DataFrame
-    parents: DataFrame
-    log: list[DataFrame] = field(default_factory=list)
-
-    def advance(self, period: str) -> None:
-        """Take in one period: new references probe the parents known by now; references waiting or resolved earlier are
-        looked at again only where a parent of theirs arrived, changed or was deleted in this period."""
-        known = self.parents.where(F.col("period") <= F.lit(period))
-        state = known.groupBy(*KEYS, "__salt").agg(
-            F.min("arrived").alias("arrived"), F.max(F.struct("stamp", "deleted_at")).alias("last"), F.max(F.col("period") == F.lit(period)).alias("touched")
-        )
-        refs = self.refs.where(F.col("period") <= F.lit(period))
-        met = refs.join(state, [*KEYS, "__salt"], "left").where((F.col("period") == F.lit(period)) | F.col("touched"))
-        status = (
-            F.when(F.col("last").isNull(), "missing").when(F.col("at") < F.col("arrived"), "late").when(F.col("last.deleted_at") <= F.col("at"), "deleted").otherwise("found")
-        )
-        self.log.append(durable(met.select("ref_id", status.alias("status"), F.lit(period).alias("period"))))
+    def __init__(self, refs: DataFrame, parents: DataFrame, heavy: bool = False, sizes: dict[str, int] | None = None):
+        """``sizes``: by period, how many rows its two parts have together, so how many keys can move in it at most."""
+        self.refs, self.parents, self.heavy, self.sizes = refs, parents, heavy, sizes or {}
+        self.periods: list[str] = []
+        self.judged: dict[str, int] = {}
+        self.folder = fresh_path(refs.sparkSession)
+
+    def advance(self, period: str, count: bool = False) -> None:
+        """Take in one period: its new references, and the earlier ones of keys whose parents came, changed or went in it, probe the index.
+
+        A period costs what moved in it: only the keys of its rows are folded out of the index, and only these
+        references get a verdict. Where the period's rows are few, their keys are broadcast and earlier parts only
+        scanned; else both are joined by shuffle, and references of heavy keys (``hot``; few keys) are looked up by
+        broadcast, so no task gets all references of one. ``count`` keeps the number of references judged.
+        """
+        few = self.sizes.get(period, SMALL_KEYS + 1) <= SMALL_KEYS
+        sent = F.broadcast if few else (lambda df: df)
+        fresh = self.refs.where(F.col("period") == period)
+        new = sent(self.parents.where(F.col("period") == period).select(*KEYS))
+        moved = fresh.unionByName(self.refs.where(F.col("period") < period).join(new, KEYS, "left_semi").select(self.refs.columns))
+        asked = sent(fresh.select(*KEYS).unionByName(self.parents.where(F.col("period") == period).select(*KEYS)).distinct())
+        known = sent(_folded(self.parents.where(F.col("period") <= period).join(asked, KEYS, "left_semi"), [*KEYS, "hot"]))
+        if self.heavy and not few:
+            cold = moved.where("not hot").join(known.where("not hot").drop("hot"), KEYS, "left")
+            met = cold.unionByName(moved.where("hot").join(F.broadcast(known.where("hot").drop("hot")), KEYS, "left"))
+        else:
+            met = moved.join(known.drop("hot"), KEYS, "left")
+        status = F.when(F.col("last").isNull(), "missing").when(F.col("at") < F.col("arrived"), "late").when(F.col("last.deleted_at") <= F.col("at"), "deleted").otherwise(FOUND)
+        met.select("ref_id", "kind", "at", status.alias("status")).write.parquet(f"{self.folder}/period={period}")
+        self.periods.append(period)
+        if count:
+            self.judged[period] = self.log().where(F.col("period") == period).count()
+
+    def log(self) -> DataFrame:
+        """(ref_id, kind, at, status, period): all verdicts so far."""
+        at = self.refs.select("ref_id", "kind", "at").schema
+        schema = T.StructType([*at, T.StructField("status", T.StringType()), T.StructField("period", T.StringType())])
+        spark = self.refs.sparkSession
+        return spark.read.schema(schema).parquet(self.folder) if self.periods else spark.createDataFrame([], schema)
 
     def verdicts(self) -> DataFrame:
-        """(ref_id, status) by the latest verdict of each reference."""
-        if not self.log:
-            return self.refs.select("ref_id", F.lit("missing").alias("status")).limit(0)
-        every = self.log[0]
-        for part in self.log[1:]:
-            every = every.unionByName(part)
-        width = int(self.refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return every.coalesce(max(2, width)).groupBy("ref_id").agg(F.max_by("status", "period").alias("status"))
+        """(ref_id, kind, at, status) by the latest verdict of each reference."""
+        return self.log().groupBy("ref_id").agg(F.max(F.struct("period", "kind", "at", "status")).alias("v")).select("ref_id", "v.kind", "v.at", "v.status")
+
+    def snapshots(self) -> DataFrame:
+        """(as_of, kind, month, status, n): the orphans per table and month of the reference as they stood after each period.
+
+        A verdict adds to its group from its period on, and the one it replaces is taken away; what is expanded to
+        every period are the groups' counts, not references.
+        """
+        w = Window.partitionBy("ref_id").orderBy("period")
+        moves = self.log().select("ref_id", "kind", F.date_format("at", "yyyy-MM").alias("month"), "status", "period", F.lead("period").over(w).alias("until"))
+        both = F.explode(F.array(F.struct(F.col("period").alias("p"), F.lit(1).alias("d")), F.struct(F.col("until").alias("p"), F.lit(-1).alias("d"))))
+        steps = moves.where(F.col("status") != FOUND).select("kind", "month", "status", both.alias("x")).where("x.p is not null").groupBy("x.p", "kind", "month", "status").agg(F.sum("x.d").alias("d"))
+        run = Window.partitionBy("kind", "month", "status").orderBy("p")
+        stood = steps.select("kind", "month", "status", "p", F.sum("d").over(run).alias("n"), F.lead("p").over(run).alias("next"))
+        periods = F.array(*[F.lit(p) for p in self.periods]).cast("array<string>")
+        during = F.filter(periods, lambda x: (x >= F.col("p")) & F.coalesce(x < F.col("next"), F.lit(True)))
+        return stood.where("n > 0").select(F.explode(during).alias("as_of"), "kind", "month", "status", "n")
 
 
 def open_state(refs: DataFrame, parents: DataFrame) -> tuple[OrphanState, list[str]]:
-    """Lay both sides out by key once, and name the periods (months of arrival in the engine) to advance through.
+    """The state before its first period, and the periods (months of arrival in the engine) to advance through.
 
     ``refs``: ref_id, kind (table referred to), key, at (time of the reference), loaded (time it came in).
     ``parents``: kind, key, arrived (null: always there), stamp (version), deleted_at, seen (time it came in).
     Repeated references and parents count once. A reference with a null ref_id or key drops out; null times of
     arrival in the engine count as the earliest period. Parents nobody refers to can resolve nothing and are left out
-    by a semi-join on the distinct keys. References of a heavy key are spread by salt, its parent rows repeated per salt.
+    by a semi-join on the distinct keys.
     """
-    spark = refs.sparkSession
     period = lambda c: F.coalesce(F.date_format(c, "yyyy-MM"), F.lit("0000-00"))
-    r = refs.where("ref_id is not null and key is not null").groupBy("ref_id", *KEYS, "at").agg(period(F.min("loaded")).alias("period"))
-    r = durable(r)
+    once = refs.where("ref_id is not null and key is not null").groupBy("ref_id", *KEYS, "at").agg(period(F.min("loaded")).alias("period"))
+    r = written(once.hint("rebalance", "period"), by="period")
+    # versions of a key within a period fold into one row before anything moves
+    p = parents.select(*KEYS, "arrived", F.struct("stamp", "deleted_at").alias("last"), period(F.col("seen")).alias("period"))
+    p = _folded(p.join(r.select(*KEYS).distinct(), KEYS, "left_semi"), [*KEYS, "period"])
+    p = written(p.hint("rebalance", "period"), by="period")
     heavy = heavy_keys(r, KEYS)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    p = parents.select(*KEYS, "arrived", "stamp", "deleted_at", period(F.col("seen")).alias("period"))
-    p = p.join(r.select(*KEYS).distinct(), KEYS, "left_semi").distinct()
-    lay = lambda df: durable(df.repartition(*KEYS, "__salt").sortWithinPartitions(*KEYS, "__salt"), laid=True)
-    state = OrphanState(lay(salted(r, KEYS, heavy, width, F.col("ref_id"))), lay(replicated(p, KEYS, heavy, width)))
+    table = split_table(refs.sparkSession, r, KEYS, heavy, 1) if heavy else None
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("hot", F.lit(False)) if table is None else df.join(table, KEYS, "left").withColumn("hot", F.col("__splits").isNotNull()).drop("__splits")
+
     # months: bounded by the calendar, not by the data
-    months = state.refs.select("period").distinct().union(state.parents.select("period").distinct()).distinct().collect()
-    return state, sorted(m[0] for m in months)
+    sizes = {m: n for m, n in r.select("period").unionByName(p.select("period")).groupBy("period").count().collect()}
+    return OrphanState(marked(r), marked(p), bool(heavy), sizes), sorted(sizes)
 
 
-def track(refs: DataFrame, parents: DataFrame, snapshots: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Run the state through all periods. Returns (ref_id, kind, key, at, status) and, if asked for, the snapshots:
-    (as_of, kind, month, status, n), orphan counts per table and month of the reference as they stood after each period.
-    """
+def track(refs: DataFrame, parents: DataFrame, count: bool = False) -> OrphanState:
+    """The state after all periods; its ``verdicts`` and ``snapshots`` are the results. Without references there are none."""
     state, periods = open_state(refs, parents)
-    for p in periods:
-        state.advance(p)
-    final = state.refs.select("ref_id", *KEYS, "at").join(state.verdicts(), "ref_id")
-    if not snapshots:
-        return final, None
-    every = state.log[0] if state.log else state.verdicts().withColumn("period", F.lit(""))
-    for part in state.log[1:]:
-        every = every.unionByName(part)
-    # a verdict adds to its group from its period on; the one it replaces is taken away
-    w = Window.partitionBy("ref_id").orderBy("period")
-    moves = every.withColumn("until", F.lead("period").over(w)).join(state.refs.select("ref_id", "kind", F.date_format("at", "yyyy-MM").alias("month")), "ref_id")
-    plus = moves.select(F.col("period").alias("as_of"), "kind", "month", "status", F.lit(1).alias("d"))
-    minus = moves.where("until is not null").select(F.col("until").alias("as_of"), "kind", "month", "status", F.lit(-1).alias("d"))
-    steps = plus.unionByName(minus).where("status <> 'found'").groupBy("as_of", "kind", "month", "status").agg(F.sum("d").alias("d"))
-    run = Window.partitionBy("kind", "month", "status").orderBy("as_of")
-    return final, steps.select("as_of", "kind", "month", "status", F.sum("d").over(run).alias("n")).where("n > 0")
+    for period in periods:
+        state.advance(period, count)
+    return state

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = 1 / 256, total: int | None = None) -> list[tuple]:
@@ -26,8 +25,8 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = 1 / 256, total: in
 
 def split_table(spark: SparkSession, df: DataFrame, keys: list[str], heavy: list[tuple], splits: int) -> DataFrame:
     """(keys..., __splits) of the heavy keys, as a frame to broadcast: its size is bounded by ``heavy_keys``."""
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("__splits", T.IntegerType())])
-    return F.broadcast(spark.createDataFrame([(*h[:-1], splits) for h in heavy], schema))
+    rows = [F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, h)], F.lit(splits).alias("__splits")) for h in heavy]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
 
 
 def salted(df: DataFrame, keys: list[str], heavy: list[tuple], splits: int, member: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators.hierarchy import ancestor_pairs, forest, nest_by_level
 from ..operators.latest import latest
-from ..operators.orphans import track
+from ..operators.orphans import FOUND, track
 from ..operators.skew import count_distinct_per_key
 from ..session import table
 
@@ -85,20 +85,24 @@ def call_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _orphans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orphan calls by their last verdict, and the snapshots."""
+    state = track(call_refs(spark, sf_dir), call_parents(spark, sf_dir))
+    return state.verdicts().where(F.col("status") != FOUND), state.snapshots()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    final, _ = track(call_refs(spark, sf_dir), call_parents(spark, sf_dir))
-    return final.where("status <> 'found'").select(F.col("ref_id").alias("call_id"), "status")
+    return _orphans(spark, sf_dir)[0].select(F.col("ref_id").alias("call_id"), "status")
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan calls per referenced table and month of extracted_at."""
-    final, _ = track(call_refs(spark, sf_dir), call_parents(spark, sf_dir))
-    return final.where("status <> 'found'").groupBy(F.col("kind").alias("referenced"), F.date_format("at", "yyyy-MM").alias("month"), "status").agg(F.count(F.lit(1)).alias("calls"))
+    return _orphans(spark, sf_dir)[0].groupBy(F.col("kind").alias("referenced"), F.date_format("at", "yyyy-MM").alias("month"), "status").agg(F.count(F.lit(1)).alias("calls"))
 
 
 def p4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts as they stood at the end of each month in which something came in."""
-    return track(call_refs(spark, sf_dir), call_parents(spark, sf_dir), snapshots=True)[1].select("as_of", F.col("kind").alias("referenced"), "month", "status", F.col("n").alias("calls"))
+    return _orphans(spark, sf_dir)[1].select("as_of", F.col("kind").alias("referenced"), "month", "status", F.col("n").alias("calls"))
 
 
 # --- 5: heavy keys
@@ -160,6 +164,25 @@ orphans AS (
   WHERE c.target <> '')
 """
 
+# each month again over all that had come in by then
+_SNAPSHOTS = r"""
+WITH calls AS (
+  SELECT call_id, program_id, coalesce(is_dynamic, false) AS dyn, extracted_at, min(strftime(loaded_at, '%Y-%m')) AS came,
+    regexp_replace(upper(regexp_replace(target, '^[\s''".]+|[\s''".]+$', '', 'g')), '^[^:]*::', '') AS target FROM call_targets GROUP BY ALL),
+refs AS (
+  SELECT call_id, extracted_at, came, CASE WHEN dyn THEN 'data_items' ELSE 'programs' END AS referenced,
+    CASE WHEN dyn THEN program_id WHEN contains(program_id, '::') THEN split_part(program_id, '::', 1) ELSE 'default' END || '|' || target AS k FROM calls WHERE target <> ''),
+parents AS (
+  SELECT 'programs' AS referenced, codebase || '|' || upper(regexp_replace(program_id, '^[^:]*::', '')) AS k, ingested_at AS arrived, deleted_at, strftime(ingested_at, '%Y-%m') AS came FROM programs
+  UNION ALL SELECT 'data_items', program_id || '|' || upper(trim(item_name)), NULL, NULL, strftime(seen_at, '%Y-%m') FROM data_items WHERE upper(trim(item_name)) <> 'FILLER'),
+asked AS (SELECT * FROM parents SEMI JOIN refs USING (referenced, k)),
+months AS (SELECT came AS as_of FROM refs UNION SELECT came FROM asked),
+known AS (SELECT as_of, referenced, k, min(arrived) AS arrived, arg_max(struct_pack(d := deleted_at), coalesce(arrived, TIMESTAMP '1970-01-01')).d AS deleted_at FROM asked, months WHERE came <= as_of GROUP BY 1, 2, 3),
+judged AS (
+  SELECT m.as_of, r.referenced, r.extracted_at, CASE WHEN p.k IS NULL THEN 'missing' WHEN r.extracted_at < p.arrived THEN 'late' WHEN p.deleted_at <= r.extracted_at THEN 'deleted' END AS status
+  FROM refs r JOIN months m ON r.came <= m.as_of LEFT JOIN known p ON p.as_of = m.as_of AND p.referenced = r.referenced AND p.k = r.k)
+"""
+
 _COPYBOOKS = r"""
 WITH entries AS (
   SELECT DISTINCT 'data_items' AS src, item_id::VARCHAR AS member, regexp_replace(upper(regexp_extract(copybook, '^\s*(\S+)', 1)), '\.CPY$', '') AS copybook FROM data_items
@@ -174,6 +197,7 @@ ORACLE = {
     "p1_descendants": _PLACED
     + "SELECT hierarchy, split_part(path, '/', i::INT)::BIGINT AS ancestor, node AS descendant, (depth + 1 - i)::INT AS distance FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM placed WHERE depth > 0)",
     "p4_found": _ORPHANS + "SELECT call_id, status FROM orphans WHERE status IS NOT NULL",
+    "p4_snapshots": _SNAPSHOTS + "SELECT as_of, referenced, strftime(extracted_at, '%Y-%m') AS month, status, count(*) AS calls FROM judged WHERE status IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p4_counts": _ORPHANS + "SELECT referenced, strftime(extracted_at, '%Y-%m') AS month, status, count(*) AS calls FROM orphans WHERE status IS NOT NULL GROUP BY 1, 2, 3",
     "p5_found": _COPYBOOKS + "SELECT src, copybook FROM counts QUALIFY n * 100 >= 3 * sum(n) OVER (PARTITION BY src)",
     "p5_counts": _COPYBOOKS + "SELECT copybook, coalesce(sum(n) FILTER (src = 'data_items'), 0)::BIGINT AS items, coalesce(sum(n) FILTER (src = 'programs'), 0)::BIGINT AS programs FROM counts GROUP BY 1",

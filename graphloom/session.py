@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _shipped: set[str] = set()
 
@@ -32,13 +36,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset (tests, a laptop) one is made."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of this application. The cluster names its shared folder in spark.checkpoint.dir; only a local master
+    (tests, a laptop) may leave that unset and gets one of its own, which goes when the driver ends."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: compressed, read by column, and pruned by ``by``."""
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    out = df.write.partitionBy(by) if by else df.write
+    out.parquet(path)
+    schema = df.schema if by is None else T.StructType([f for f in df.schema if f.name != by] + [df.schema[by]])
+    return spark.read.schema(schema).parquet(path)
 
 
 def durable(df: DataFrame, laid: bool = False) -> DataFrame:

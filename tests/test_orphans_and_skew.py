@@ -14,19 +14,30 @@ PARENTS = "kind string, key string, arrived timestamp, stamp timestamp, deleted_
 def run(spark, refs, parents, **k):
     r = spark.createDataFrame([(*x, "s", "p") for x in refs], REFS)
     p = spark.createDataFrame([(*x, "l") for x in parents], PARENTS)
-    return track(r, p, **k)
+    state = track(r, p, **k)
+    final = state.verdicts()
+    return (state, final) if k else (final, state.snapshots())
 
 
 def test_orphans_wait_resolve_and_reopen(spark):
     refs = [(1, "t", "a", D(1), D(1)), (2, "t", "a", D(4), D(4)), (3, "t", "a", D(6), D(8)), (4, "t", "b", D(1), D(1)), (5, "t", "b", D(1), None), (5, "t", "b", D(1), None), (6, "t", None, D(1), D(1)), (None, "t", "a", D(1), D(1)), (7, "t", "c", D(3), D(3))]
     parents = [("t", "a", D(2), D(2), None, D(2)), ("t", "a", D(5), D(5), D(5, 2), D(5)), ("t", "a", D(5), D(5), D(5, 2), D(5)), ("u", "b", D(1), D(1), None, D(1)), ("t", "c", None, None, None, D(9))]
-    final, snaps = run(spark, refs, parents, snapshots=True)
+    final, snaps = run(spark, refs, parents)
     assert {r.ref_id: r.status for r in final.collect()} == {1: "late", 2: "found", 3: "deleted", 4: "missing", 5: "missing", 7: "found"}
     seen = {(r.as_of, r.month, r.status): r.n for r in snaps.collect()}
     assert seen[("2025-01", "2025-01", "missing")] == 3  # 1, 4 and 5 wait
     assert seen[("2025-02", "2025-01", "missing")] == 2  # a has come
     assert seen[("2025-02", "2025-01", "late")] == 1
     assert seen[("2025-03", "2025-03", "missing")] == 1 and ("2025-09", "2025-03", "missing") not in seen
+    assert seen[("2025-09", "2025-01", "missing")] == 2  # 4 and 5 still wait: a snapshot holds every group
+
+
+def test_a_period_judges_what_moved_in_it(spark):
+    refs = [(n, "t", f"k{n % 50}", D(1), D(1)) for n in range(500)] + [(900, "t", "k0", D(2), D(2))]
+    parents = [("t", "k7", D(3), D(3), None, D(3)), ("t", "nobody", D(4), D(4), None, D(4)), ("t", "k7", D(5), D(5), D(5, 2), D(5))]
+    state, final = run(spark, refs, parents, count=True)
+    assert state.judged == {"2025-01": 500, "2025-02": 1, "2025-03": 10, "2025-05": 10}
+    assert {r.status for r in final.where("ref_id % 50 = 7").collect()} == {"late"}
 
 
 def test_a_later_version_revives_a_parent(spark):
