@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .traverse import reach
+from .components import components
 
 
 def mark_external(programs: DataFrame, calls: DataFrame) -> DataFrame:
@@ -50,13 +50,14 @@ def link_cards(cards: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def merge_domains(memberships: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``memberships`` (program, domain, ...) with the domains of ``pairs`` (a, b), and chains of them, made one: the
-    largest, then the shortest, then the first by name is kept; a program belongs to it once."""
+    """``memberships`` (program, domain, ...) with the domains of ``pairs`` (a, b), and chains of them of any length, made
+    one: of each connected component the largest, then the shortest, then the first by name is kept; a program belongs
+    to it once."""
     sizes = memberships.groupBy("domain").agg(F.count_distinct("program").alias("n"))
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    met = reach(both, both.select(F.col("src").alias("key"), F.col("src").alias("node")), 50)
-    best = met.join(sizes.withColumnRenamed("domain", "node"), "node").groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("node").alias("l"), "node")).alias("b"))
-    return memberships.join(best.select(F.col("key").alias("domain"), F.col("b.node").alias("__keep")), "domain", "left").select("program", F.coalesce("__keep", "domain").alias("domain")).distinct()
+    met = components(pairs, "a", "b").select(F.col("node").alias("domain"), "component")
+    best = met.join(sizes, "domain").groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("domain").alias("l"), "domain")).alias("b"))
+    kept = met.join(best, "component").select("domain", F.col("b.domain").alias("__keep"))
+    return memberships.join(kept, "domain", "left").select("program", F.coalesce("__keep", "domain").alias("domain")).distinct()
 
 
 def reassign(memberships: DataFrame, moves: DataFrame) -> DataFrame:
