@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .components import components
-from .lookups import lookup
+from ..operators.components import components
+from ..operators.lookups import lookup
 
 #: Spellings of roles and what they mean (fixed values).
 ROLES = {"human": "user", "ai": "assistant", "model": "assistant"}
@@ -24,26 +24,31 @@ def role(c: Column) -> Column:
 
 
 def identifier_links(messages: DataFrame) -> DataFrame:
-    """(a, b): rows that carry the same session_id, linked to the lowest message id of it; the carried identifier stands
-    in for reply and quote links where the source has none."""
-    named = messages.where("session_id is not null and id is not null").select("id", "session_id")
-    anchors = durable(named.groupBy("session_id").agg(F.min("id").alias("anchor"), F.count(F.lit(1)).alias("__n")))
-    return lookup(named, anchors, ["session_id"], "inner", count="__n").select(F.col("id").alias("a"), F.col("anchor").alias("b"))
+    """(a, b): what links the messages of sources that keep no reply or quote links: a message replies to the one a seq
+    before it under the same session_id, and messages of one seq, sent again, belong together. Rows without session_id,
+    seq or id are linked to nothing."""
+    placed = messages.where("session_id is not null and id is not null and seq is not null").select("id", "session_id", F.col("seq").cast("long").alias("seq"))
+    anchors = durable(placed.groupBy("session_id", "seq").agg(F.min("id").alias("anchor"), F.count(F.lit(1)).alias("__n")))
+    again = lookup(placed, anchors.where("__n > 1"), ["session_id", "seq"], "inner", count="__n").select(F.col("id").alias("a"), F.col("anchor").alias("b"))
+    ends = F.explode(F.array(F.struct(F.col("seq").alias("at"), F.col("anchor").alias("a"), F.lit(None).cast(anchors.schema["anchor"].dataType).alias("b")), F.struct((F.col("seq") + 1).alias("at"), F.lit(None).cast(anchors.schema["anchor"].dataType).alias("a"), F.col("anchor").alias("b"))))
+    replies = anchors.select("session_id", ends.alias("x")).groupBy("session_id", "x.at").agg(F.max("x.a").alias("a"), F.max("x.b").alias("b")).where("a is not null and b is not null")
+    return again.unionByName(replies.select("a", "b"))
 
 
 def assign(messages: DataFrame, links: DataFrame) -> DataFrame:
-    """(session_id, role, content, seq): messages with the identifier of their conversation.
+    """(session_id, part, role, content, seq): messages with the conversation that they belong to.
 
-    Conversations are the connected components of ``links`` (reply, quote and identifier links between message ids).
-    A component takes the smallest session_id that a row of it carries, and so do its rows that carry none; rows of
-    components without any identifier are ignored. A row that carries an identifier keeps it.
+    Conversations are the connected components of ``links`` (reply and quote links between message ids). A component,
+    ``part``, takes the smallest session_id that a row of it carries, and all its rows go by that name, those that carry
+    none or another too; components without any identifier are ignored. A session that the links don't hold together
+    has several parts.
     """
     rows = messages.where("id is not null").select("id", "session_id", "role", "content", "seq")
-    placed = rows.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    placed = rows.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
     placed = durable(placed)
-    names = durable(placed.groupBy("component").agg(F.min("session_id").alias("given"), F.count(F.lit(1)).alias("__n")))
-    named = lookup(placed, names, ["component"], "inner", count="__n")
-    return named.withColumn("session_id", F.coalesce("session_id", "given")).where("session_id is not null").select("session_id", role(F.col("role")).alias("role"), "content", F.col("seq").cast("long").alias("seq"))
+    names = durable(placed.groupBy("part").agg(F.min("session_id").alias("given"), F.count(F.lit(1)).alias("__n")).where("given is not null"))
+    named = lookup(placed.drop("session_id"), names, ["part"], "inner", count="__n")
+    return named.select(F.col("given").alias("session_id"), "part", role(F.col("role")).alias("role"), "content", F.col("seq").cast("long").alias("seq"))
 
 
 def faults(rows: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -51,12 +56,14 @@ def faults(rows: DataFrame, sessions: DataFrame) -> DataFrame:
 
     ``rows`` from ``assign``; ``sessions`` has an ``id``. All checks are aggregations: first by (session, seq), where a
     row meets the one before it through a copy shifted by one seq, then by session with map-side partial results, so
-    a session of any size never sits in one task. Rows alike in session, role, content and seq count once.
+    a session of any size never sits in one task. Rows alike in session, role, content and seq count once. A session in
+    several parts is broken: its messages don't follow each other.
     """
-    once = rows.select("session_id", "role", "seq", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)).alias("filled"), F.sha2("content", 256).alias("digest")).distinct()
+    said = rows.select("session_id", "part", "role", "seq", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)).alias("filled"), F.sha2("content", 256).alias("digest"))
+    once = said.groupBy("session_id", "role", "seq", "filled", "digest").agg(F.min("part").alias("first_part"), F.max("part").alias("last_part"))
     both = once.select(
-        "session_id", "role", "filled", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("seq").alias("at")), F.struct(F.lit(False).alias("own"), (F.col("seq") + 1).alias("at")))).alias("x")
-    ).select("session_id", "role", "filled", "x.own", "x.at").where("own or at is not null")
+        "session_id", "role", "filled", "first_part", "last_part", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("seq").alias("at")), F.struct(F.lit(False).alias("own"), (F.col("seq") + 1).alias("at")))).alias("x")
+    ).select("session_id", "role", "filled", "first_part", "last_part", "x.own", "x.at").where("own or at is not null")
     own = lambda c: F.when(F.col("own"), c)
     by_seq = both.groupBy("session_id", "at").agg(
         F.count(own(F.lit(1))).alias("n"),
@@ -64,6 +71,8 @@ def faults(rows: DataFrame, sessions: DataFrame) -> DataFrame:
         F.coalesce(F.max(own(F.col("filled"))), F.lit(False)).alias("filled"),
         F.coalesce(F.max(own(~F.col("role").isin(*KNOWN_ROLES))), F.lit(False)).alias("strange"),
         F.max(F.when(~F.col("own"), F.col("role"))).alias("before"),
+        F.min(own(F.col("first_part"))).alias("first_part"),
+        F.max(own(F.col("last_part"))).alias("last_part"),
     )
     here = F.col("n") > 0
     any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
@@ -73,8 +82,7 @@ def faults(rows: DataFrame, sessions: DataFrame) -> DataFrame:
         any_of(here & F.col("at").isNull()).alias("unordered"),
         any_of(F.col("n") > 1).alias("twice"),
         F.min(F.when(here, F.col("at"))).alias("first_seq"),
-        F.max(F.when(here, F.col("at"))).alias("last_seq"),
-        F.count(F.when(here & F.col("at").isNotNull(), 1)).alias("seqs"),
+        (F.min("first_part") < F.max("last_part")).alias("apart"),
         any_of(F.col("strange")).alias("strange"),
         F.max(F.when(here & (F.col("role") == "system"), F.col("at"))).alias("last_system"),
         F.min(spoke)["role"].alias("opener"),
@@ -87,7 +95,7 @@ def faults(rows: DataFrame, sessions: DataFrame) -> DataFrame:
         F.col("known").isNull()
         | F.col("unordered")
         | F.col("twice")
-        | (F.col("last_seq") - F.col("first_seq") + 1 != F.col("seqs"))
+        | F.col("apart")
         | F.col("strange")
         | F.coalesce(F.col("last_system") > F.col("first_seq"), F.lit(False))
         | (F.coalesce(F.col("opener"), F.lit("")) != "user")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import tokens
 from ..session import durable
 
-#: Where the public vocabulary lies; a parameter of every call.
+#: Where the public vocabulary lies on the driver; a parameter of every call. Executors get it from there.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary's text is cut into words before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -23,11 +25,11 @@ BUCKET_ROWS = 50_000
 MOST_SOURCES = 100_000
 
 
-def _counter(vocabulary: str):
+def _counter(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -42,7 +44,8 @@ def sized(docs: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """(doc_id, source, size): tokens of a public byte-level BPE, or of the project's estimate where ``vocabulary`` is None. Null texts have size 0."""
     if vocabulary is None:
         return docs.select("doc_id", "source", tokens(F.col("text")).alias("size"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_counter(vocabulary), "doc_id long, source string, size long")
+    docs.sparkSession.sparkContext.addFile(os.path.realpath(vocabulary))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_counter(os.path.basename(os.path.realpath(vocabulary))), "doc_id long, source string, size long")
 
 
 def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -63,7 +66,6 @@ def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("budget", budget)
         .withColumn("epochs", epochs)
         .withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("short", F.col("max_repeats") * F.col("tokens") < F.col("target_share") * F.lit(total))
     )
 
 
@@ -97,8 +99,14 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source: tokens, budget, tokens taken and the actual share of the mix, beside the target."""
-    taken = durable(mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")))
+    """Per source: tokens, budget, tokens taken and the actual share of the mix, beside the target.
+
+    ``short``: the mix holds every document of the source max_repeats times, and that is less than its target share of
+    the tokens of all documents. A source without documents is short of any target.
+    """
+    whole = plan.join(mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.sum("size").alias("used"), F.min("copies").alias("least")), "source", "left")
+    taken = durable(whole.withColumn("taken", F.coalesce("taken", F.lit(0)))).withColumn("spent", (F.coalesce("used", F.lit(0)) == F.col("tokens")) & F.coalesce(F.col("least") == F.col("max_repeats"), F.lit(True)))
     total = taken.agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]
     actual = F.when(F.lit(total) > 0, F.round(F.col("taken") / F.lit(max(1, total)), 6))
-    return plan.join(taken, "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).select("source", "target_share", "max_repeats", "tokens", "budget", "taken", actual.alias("actual_share"), "short")
+    short = F.col("spent") & (F.col("taken") < F.col("target_share") * F.col("all_tokens"))
+    return taken.select("source", "target_share", "max_repeats", "tokens", "budget", "taken", actual.alias("actual_share"), short.alias("short"))

@@ -68,9 +68,9 @@ def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per program: its class of equal sets and its number of partners."""
+    """One row per program: the first program of its class of equal sets, and its number of partners."""
     sets = _sets(spark, sf_dir)
-    return setjoin.links(sets, durable(setjoin.similar(sets, 0.75))).select(F.col("key").alias("program_id"), "class", "links")
+    return setjoin.links(sets, durable(setjoin.similar(sets, 0.75))).select(F.col("key").alias("program_id"), F.col("first").alias("class"), "links")
 
 
 # --- 7: leakage
@@ -103,7 +103,8 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)[1].where("short").select("source")
+    """Sources that run out: read off the mix itself."""
+    return p8_shares(spark, sf_dir).where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +178,10 @@ ORACLE = {
     "p2_conversations": _SESSIONS + "SELECT session_id, (seq - lo)::BIGINT AS turn, role, content FROM placed JOIN (SELECT session_id FROM verdict WHERE fault IS NULL) USING (session_id)",
     "p3_found": _SPLIT + "SELECT chunk_id, list_bool_or(list_transform(string_split(t, e'\\n'), lambda x: strlen(x) * 10 // 32 > 1000))::INT AS hard_cut FROM tidy WHERE strlen(t) * 10 // 32 > 1000",
     "p6_found": _SETS + "SELECT program_a, program_b FROM pairs",
+    "p6_links": _SETS
+    + """, same AS (SELECT program_id, min(program_id) OVER (PARTITION BY vs) AS class FROM (SELECT program_id, list_sort(list(v)) AS vs FROM sized GROUP BY 1)),
+both_ways AS (SELECT program_a AS program_id FROM pairs UNION ALL SELECT program_b FROM pairs)
+SELECT program_id, class, count(b.program_id) AS links FROM same LEFT JOIN both_ways b USING (program_id) GROUP BY 1, 2""",
     "p6_overlaps": _SETS + "SELECT * FROM pairs",
     "p8_found": r"""
 WITH sized AS (SELECT replace(lower(trim(source)), '-', '_') AS source, coalesce(strlen(text) * 10 // 32, 0) AS size FROM documents),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .lookups import lookup
+from ..operators.lookups import lookup
 
 #: Members of one block of a token's list; longer lists are cut into blocks that meet pair by pair.
 BLOCK = 2_000
@@ -150,22 +150,31 @@ def similar(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     return laid.mapInArrow(_joiner(threshold), "a binary, b binary, overlap int, together int")
 
 
-def expand(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def expand(sets: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, overlap, together): the pairs of records behind the pairs of classes, and the pairs inside a class, a < b.
 
-    This is as large as the answer itself; ``links`` says the same in one row per record.
+    This is as large as the answer itself; ``links`` says the same in one row per record. A class of many records is cut
+    into blocks by hash, and every pair of blocks is joined apart, so a class never sits in one task.
     """
-    members = sets.select("key", "class", "n")
-    left, right = members.select(F.col("key").alias("ka"), F.col("class").alias("a")), members.select(F.col("key").alias("kb"), F.col("class").alias("b"))
-    across = pairs.join(left, "a").join(right, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "overlap", "together")
-    inside = members.select(F.col("key").alias("a"), "class", "n").join(members.select(F.col("key").alias("b"), "class"), "class").where("a < b")
-    return across.unionByName(inside.select("a", "b", F.col("n").alias("overlap"), F.col("n").alias("together")))
+    sizes = durable(sets.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")))
+    blocks = lambda m: F.ceil(m / F.lit(block)).cast("int")
+    numbered = lookup(sets.select("key", "class"), sizes.drop("n"), ["class"], "inner", count="m").withColumn("k", blocks(F.col("m")))
+    members = durable(numbered.select("key", "class", "k", F.pmod(F.xxhash64("key"), F.col("k")).cast("int").alias("at")))
+    spans = lambda c: F.sequence(F.lit(0), blocks(F.col(c)) - 1)
+    met = pairs.join(sizes.select(F.col("class").alias("a"), F.col("m").alias("ma")), "a").join(sizes.select(F.col("class").alias("b"), F.col("m").alias("mb")), "b")
+    across = met.select("a", "b", "overlap", "together", F.explode(spans("ma")).alias("i"), "mb").select("a", "b", "overlap", "together", "i", F.explode(spans("mb")).alias("j"))
+    alone = sizes.where("m > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("n").alias("overlap"), F.col("n").alias("together"), F.explode(spans("m")).alias("i"), "m")
+    alone = alone.select("a", "b", "overlap", "together", "i", F.explode(spans("m")).alias("j")).where("i <= j")
+    left, right = members.select(F.col("key").alias("ka"), F.col("class").alias("a"), F.col("at").alias("i")), members.select(F.col("key").alias("kb"), F.col("class").alias("b"), F.col("at").alias("j"))
+    every = across.unionByName(alone).join(left, ["a", "i"]).join(right, ["b", "j"]).where((F.col("a") != F.col("b")) | (F.col("i") < F.col("j")) | (F.col("ka") < F.col("kb")))
+    return every.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "overlap", "together")
 
 
 def links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, class, links): one row per record, with the number of records similar to it, equal ones included."""
-    size = durable(sets.groupBy("class").agg(F.count(F.lit(1)).alias("records")))
+    """(key, first, links): one row per record, with the least key among the equal sets, which names its class, and the
+    number of records similar to it, equal ones included."""
+    size = durable(sets.groupBy("class").agg(F.count(F.lit(1)).alias("records"), F.min("key").alias("first")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beyond = both.join(size.select(F.col("class").alias("b"), "records"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("records").alias("beyond"))
-    per = size.join(beyond, "class", "left").select("class", F.col("records").alias("__n"), (F.col("records") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
-    return lookup(sets.select("key", "class"), durable(per), ["class"], "inner", count="__n").select("key", F.lower(F.hex("class")).alias("class"), "links")
+    per = size.join(beyond, "class", "left").select("class", "first", F.col("records").alias("__n"), (F.col("records") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"))
+    return lookup(sets.select("key", "class"), durable(per), ["class"], "inner", count="__n").select("key", "first", "links")

@@ -54,8 +54,8 @@ def split(df: DataFrame, key: str, content: str, path: str, limit: int = 1000, o
     Every piece has at most ``limit`` tokens. Piece k > 0 starts with the last ``overlap`` lines of piece k - 1, or as
     many of them as fit; room for them is set aside by the longest such run of lines in the text, half the limit at
     most. ``from_byte`` and ``to_byte`` give the new text in the tidied content, and these ranges follow each other
-    without a gap; newlines at a piece's end are not part of its ``content``. ``hard_cut`` is 1 where a line longer than
-    a piece had to be cut inside. Null, empty and small texts give no rows; repeated rows count once; other columns
+    without a gap; newlines at a piece's end are not part of its ``content``. ``hard_cut`` is 1 where the pattern's last
+    alternative had to cut inside a line: a cut before the last one that ends without a newline. Null, empty and small texts give no rows; repeated rows count once; other columns
     are ignored. Bytes are counted by reading the UTF-8 bytes as Latin-1, so a quantifier is a byte limit.
     """
     most = limit_bytes(limit)
@@ -64,7 +64,8 @@ def split(df: DataFrame, key: str, content: str, path: str, limit: int = 1000, o
 
     def cut(text: Column) -> Column:
         lines = F.transform(F.split("__text", "\n"), lambda x: F.octet_length(x))
-        return _let(lines, lambda n: _let(F.regexp_extract_all(text, _pattern(most, _room(n, most, overlap), kind), F.lit(0)), lambda cuts: pieces(cuts, F.exists(n, lambda x: x > most))))
+        inside = lambda cuts: F.exists(F.slice(cuts, F.lit(1), F.greatest(F.size(cuts) - 1, F.lit(0))), lambda x: ~F.endswith(x, F.lit("\n")))
+        return _let(lines, lambda n: _let(F.regexp_extract_all(text, _pattern(most, _room(n, most, overlap), kind), F.lit(0)), lambda cuts: pieces(cuts, inside(cuts))))
 
     def pieces(cuts: Column, long: Column) -> Column:
         # what stands before each cut, as far back as its overlap can reach

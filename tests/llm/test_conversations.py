@@ -1,6 +1,4 @@
-import random
-
-from graphloom.llm.components import components
+from graphloom.llm import conversations as module
 from graphloom.llm.conversations import assign, conversations, faults, identifier_links
 
 MESSAGES = "id long, session_id string, role string, content string, seq int, component long, node string"
@@ -13,26 +11,6 @@ def judge(spark, rows, sessions, links=None):
     return placed, verdict
 
 
-def test_components_agree_with_union_find(spark):
-    rng = random.Random(2)
-    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(n, n + 1) for n in range(300, 360)] + [(1000, n) for n in range(1001, 1400)] + [(None, 3), (5, 5), (1, None)]
-    up = {}
-
-    def find(x):
-        up.setdefault(x, x)
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in links:
-        if None not in (a, b) and a != b:
-            a, b = find(a), find(b)
-            up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
-    assert got == {n: find(n) for n in up}
-    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
-
-
 def test_faults_in_their_order(spark):
     u, a, s = "user", "assistant", "system"
     talks = {
@@ -78,3 +56,17 @@ def test_one_session_with_a_third_of_all_rows(spark):
     rows = [(n, "big", "user" if n % 2 == 0 else "assistant", f"t{n}", n) for n in range(1000)] + [(5000 + n, f"s{n // 2}", ("user", "assistant")[n % 2], "t", n % 2) for n in range(600)]
     _, verdict = judge(spark, rows, ["big", *(f"s{n}" for n in range(300))])
     assert verdict.where("fault is null").count() == 301
+
+
+def test_the_answer_comes_from_the_components(spark, monkeypatch):
+    rows = [(1, "s", "user", "q", 4), (2, "s", "assistant", "a", 5), (3, "s", "assistant", "a", 5)]
+    assert judge(spark, rows, ["s"])[1].first().fault is None
+    monkeypatch.setattr(module, "components", lambda links, a, b: links.select(links[a].alias("node"), links[b].alias("component")).limit(0))
+    assert judge(spark, rows, ["s"])[1].first().fault == "broken"
+
+
+def test_a_quote_joins_two_sessions(spark):
+    rows = [(1, "a", "user", "q", 0), (2, "b", "assistant", "x", 1)]
+    links = spark.createDataFrame([(2, 1)], "a long, b long")
+    got = {r.session_id: r.fault for r in judge(spark, rows, ["a", "b"], links)[1].collect()}
+    assert got == {"a": None, "b": "empty"}

@@ -49,3 +49,12 @@ def test_nothing(spark):
     plan = mixing.budgets(sized, targets)
     assert mixing.mix(sized, plan).count() == 0 and mixing.shares(mixing.mix(sized, plan), plan).count() == 4
     assert mixing.budgets(mixing.sized(docs, None), targets.limit(0)).count() == 0
+
+
+def test_short_is_read_off_the_mix(spark):
+    docs, targets = frames(spark)
+    sized = mixing.sized(docs, vocabulary=None)
+    plan = mixing.budgets(sized, targets)
+    mixed = mixing.mix(sized, plan)
+    short = lambda m: {r.source for r in mixing.shares(m, plan).where("short").collect()}
+    assert short(mixed) == {"c", "gone"} and short(mixed.where("source <> 'c' or doc_id % 7 = 0")) == {"gone"}

@@ -37,7 +37,7 @@ def test_all_pairs_with_skew_copies_and_blocks(spark):
     for t, block in ((0.75, 2000), (0.75, 3), (0.5, 7), (1.0, 50)):
         want = brute(rows, t, 4)
         pairs = similar(sets, t, block=block)
-        got = expand(sets, pairs).collect()
+        got = expand(sets, pairs, block=block).collect()
         assert len(got) == len(want) and {(r.a, r.b): (r.overlap, r.together) for r in got} == want
     per = Counter(x for p in brute(rows, 0.75, 4) for x in p)
     assert {r.key: r.links for r in links(sets, similar(sets, 0.75)).collect() if r.links} == dict(per)

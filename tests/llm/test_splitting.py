@@ -49,3 +49,14 @@ def test_a_very_long_text_and_an_empty_table(spark):
     rows = pieces(spark, ["word " * 200_000 + "\n" + "z\n" * 100_000], limit=1000)[0]
     assert rows[-1].to_byte == len(("word " * 200_000).rstrip() + "\n" + "z\n" * 100_000)
     assert pieces(spark, []) == {}
+
+
+def test_hard_cuts_come_from_the_pattern(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import splitting
+
+    text = "\n".join(f"line number {n:02d}" for n in range(100))
+    assert {r.hard_cut for r in pieces(spark, [text], limit=60)[0]} == {0}
+    monkeypatch.setattr(splitting, "_pattern", lambda *_: F.lit("(?s).{1,5}"))
+    assert {r.hard_cut for r in pieces(spark, [text], limit=60)[0]} == {1}
