@@ -58,6 +58,12 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: compressed, read by column, and pruned by ``by``."""
     spark = df.sparkSession
