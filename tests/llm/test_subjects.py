@@ -1,6 +1,10 @@
 import random
 
-from graphloom.llm.subjects import segments, subjects_of
+import numpy as np
+import pyarrow as pa
+
+from graphloom.llm.subjects import Batch, _featurize, featurized, languages, segmented, subjects_of
+from graphloom.session import fresh_path
 
 TERMS = {"sea": ["harbour pilot", "anchor chain", "tide table", "cargo hold"], "law": ["court ruling", "legal brief", "appeal notice", "jury panel"], "sky": ["flight level", "tail wind", "cabin crew", "radar echo"]}
 PLAIN = ["work area", "key field", "call tree", "print exit", "load module", "open section"]
@@ -53,5 +57,42 @@ def test_no_labels_no_documents_no_subjects(spark):
 
 
 def test_segments():
-    assert segments("A b1. Cd-EF gH\nx") == [["a"], ["cd", "ef", "g", "h"], ["x"]]
-    assert segments(None) == segments(" ") == []
+    def segments(*texts):
+        words, segment, document = segmented(pa.array(texts, pa.string()))
+        out = {}
+        for w, at in zip(words.to_pylist(), segment.tolist()):
+            out.setdefault((int(document[at]), at), []).append(w)
+        return [(d, ws) for (d, _), ws in out.items()]
+
+    assert segments("A b1. Cd-EF gH\nx", None, " ", "Ｆull (so!) now") == [(0, ["a"]), (0, ["cd", "ef", "g", "h"]), (0, ["x"]), (3, ["full", "so"]), (3, ["now"])]
+
+
+def test_features_come_back_by_segment():
+    texts = pa.array([None, "a b. a a", "", "c\nd e f"], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4], pa.int64()), pa.array(["", "en", "", ""]), texts], ["doc_id", "lang", "text"])
+    out = next(_featurize(iter([batch])))
+    got = Batch.read(out.column(2), out.column(3))
+    assert got.of.tolist() == [1, 1, 3, 3] and np.bincount(got.at).tolist() == [3, 2, 1, 5]
+    assert got.summed(np.ones((1, 1)), np.zeros(len(got.slots), int))[:, 0].tolist() == [3, 2, 1, 5]
+
+
+def test_a_language_is_learned_from_what_is_said(spark):
+    de, en = ["der Satz und das Wort ist hier", "die Zeile wird nicht mit gelesen"], ["the word and the line is here", "a record is not read with it"]
+    rows = [(n, (de if n % 4 == 0 else en)[n % 3 % 2], "xx" if n == 7 else ("DE-at", "en", " EN ", "en")[n % 4]) for n in range(300)]
+    path = fresh_path(spark)
+    features = featurized(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path)
+    spoken = languages(features)
+    assert spoken.names == ["de", "en"]
+    told = {}
+    for r in features.collect():
+        told.setdefault(r.doc_id % 4 == 0, set()).update(spoken.tell(Batch.read(pa.array([r.slots], pa.list_(pa.int32())), pa.array([r.ends], pa.list_(pa.int32())))).tolist())
+    assert told == {True: {0}, False: {1}}
+
+
+def test_posteriors_are_calibrated(spark):
+    docs, truth = corpus(400, seed=3)
+    labels = [(k, s) for k in range(0, 120) for s in truth[k]]
+    out = subjects_of(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"), spark.createDataFrame([(s,) for s in TERMS], "subject string")).collect()
+    held = [(r.posterior, r.subject in truth[r.doc_id]) for r in out if r.doc_id >= 120]
+    for part in (held, [x for x in held if x[0] >= 0.7]):
+        assert len(part) > 100 and abs(sum(p for p, _ in part) / len(part) - sum(y for _, y in part) / len(part)) < 0.05
