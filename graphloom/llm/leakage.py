@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
@@ -15,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of all items that are searched for in one pass; more items go in further passes over the documents.
-PASS_WORDS = 2_000_000
+#: Words of all items that are searched for in one pass; more items go in further passes over the documents. A worker
+#: holds 16 bytes for each, as often as there are walks.
+PASS_WORDS = 500_000
 #: Windows that are embedded at once, which bounds a worker's memory whatever the length of a text.
 AT_ONCE = 1 << 18
 #: Distinct words whose hashes a worker keeps.
@@ -181,19 +181,18 @@ class Index:
         self.walks = walks(window, bits, repetitions(symbols, window, edits, bits, recall, seed), seed)
         self.tables = []
         for walk in self.walks:
-            met: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for n, s in enumerate(symbols):
-                if len(s) >= window:
-                    for at, key in enumerate(keys(s, np.arange(len(s) - window + 1), window, walk).tolist()):
-                        met[key].append((n, at))
-            self.tables.append((self._filter(met), dict(met)))
+            long = [(n, len(s) - window + 1) for n, s in enumerate(symbols) if len(s) >= window]
+            found = np.concatenate([np.zeros(0, np.uint64), *(keys(symbols[n], np.arange(m), window, walk) for n, m in long)])
+            item = np.concatenate([np.zeros(0, np.int32), *(np.full(m, n, np.int32) for n, m in long)])
+            at = np.concatenate([np.zeros(0, np.int32), *(np.arange(m, dtype=np.int32) for _, m in long)])
+            order = np.argsort(found, kind="stable")
+            self.tables.append((self._filter(found), found[order], item[order], at[order]))
 
     @staticmethod
-    def _filter(met: dict) -> np.ndarray:
+    def _filter(found: np.ndarray) -> np.ndarray:
         """A bit per slot, sparse enough that few windows pass by chance."""
-        slots = np.zeros(1 << max(16, (64 * max(1, len(met))).bit_length()), bool)
-        if met:
-            slots[np.fromiter(met, np.uint64, len(met)) & np.uint64(len(slots) - 1)] = True
+        slots = np.zeros(1 << max(16, (16 * max(1, len(found))).bit_length()), bool)
+        slots[found & np.uint64(len(slots) - 1)] = True
         return slots
 
     def hits(self, docs: list[list[str]], symbols: np.ndarray) -> dict[tuple[int, int], int]:
@@ -209,10 +208,12 @@ class Index:
         starts = np.arange(len(owner)) - first[owner] + begin[owner]
         for lo in range(0, len(starts), AT_ONCE):
             part = starts[lo : lo + AT_ONCE]
-            for walk, (slots, met) in zip(self.walks, self.tables):
+            for walk, (slots, known, items, ats) in zip(self.walks, self.tables):
                 found = keys(symbols, part, n, walk)
-                for p in np.nonzero(slots[found & np.uint64(len(slots) - 1)])[0].tolist():
-                    for item, at in met.get(int(found[p]), ()):
+                some = np.nonzero(slots[found & np.uint64(len(slots) - 1)])[0]
+                first, last = np.searchsorted(known, found[some], "left"), np.searchsorted(known, found[some], "right")
+                for p, x, y in zip(some.tolist(), first.tolist(), last.tolist()):
+                    for item, at in zip(items[x:y].tolist(), ats[x:y].tolist()):
                         k = int(owner[lo + p])
                         pair = (k, self.ids[item])
                         if best.get(pair, self.edits + 1) == 0:

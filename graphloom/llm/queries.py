@@ -173,7 +173,20 @@ met AS (
 pairs AS (SELECT program_a, program_b, overlap::INT AS overlap, (both_n - overlap)::INT AS together FROM met WHERE overlap >= 0.75 * (both_n - overlap))
 """
 
+# NFKC as far as the tables hold compatibility characters: the full-width forms of ASCII and the no-break space
+_LEAKS = """
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'i', item_id, text FROM eval_items),
+n AS (
+  SELECT side, id, regexp_extract_all(lower(translate(replace(replace(text, chr(173), ''), chr(8203), ''), (SELECT string_agg(chr(x::INT + 65248), '' ORDER BY x) FROM range(33, 127) r(x)) || chr(160), (SELECT string_agg(chr(x::INT), '' ORDER BY x) FROM range(33, 127) r(x)) || ' ')), '[a-z0-9]+') AS ws
+  FROM w WHERE text IS NOT NULL AND id IS NOT NULL),
+g AS (SELECT side, id, array_to_string(ws[i:i + 11], ' ') AS gram FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 10)) AS i FROM n WHERE len(ws) >= 12)),
+leaked AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram)
+"""
+
 ORACLE = {
+    "p7_found": _LEAKS + "SELECT doc_id, item_id FROM leaked",
+    "p7_items": _LEAKS + "SELECT e.item_id, count(l.doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items WHERE item_id IS NOT NULL) e LEFT JOIN leaked l USING (item_id) GROUP BY 1",
     "p2_found": _SESSIONS + "SELECT session_id, fault FROM verdict WHERE fault IS NOT NULL",
     "p2_conversations": _SESSIONS + "SELECT session_id, (seq - lo)::BIGINT AS turn, role, content FROM placed JOIN (SELECT session_id FROM verdict WHERE fault IS NULL) USING (session_id)",
     "p3_found": _SPLIT + "SELECT chunk_id, list_bool_or(list_transform(string_split(t, e'\\n'), lambda x: strlen(x) * 10 // 32 > 1000))::INT AS hard_cut FROM tidy WHERE strlen(t) * 10 // 32 > 1000",
