@@ -2,7 +2,7 @@
 
 ``TEXTS(x)``: the distinct values of a group, sorted, as one text; ``LISTED(x)``: all its values, sorted, as one text;
 ``UNNEST(x)``: a row per element; ``DIV(a, b)``: integer division; ``STRIP(x)``: blanks, quotes and full stops off both
-ends; ``BYTES(x)``: UTF-8 bytes; ``RX(x, p, r)``: replace every match; ``BIG(x)``: as a 64-bit integer; ``FOUND(x, p)``: all that the first group of a pattern matches, as an array.
+ends; ``BYTES(x)``: UTF-8 bytes; ``RX(x, p, r)``: replace every match; ``BIG(x)``: as a 64-bit integer; ``FOUND(x, p)``: all that the first group of a pattern matches, as an array; ``LASTOF(s, f)``: a field of a struct.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ _SPARK = {
     "RX": "regexp_replace({0}, r{1}, {2})",
     "BIG": "CAST({0} AS BIGINT)",
     "FOUND": "regexp_extract_all({0}, r{1}, 1)",
+    "LASTOF": "{0}.{1}",
 }
 _DUCK = {
     "TEXTS": "coalesce(string_agg(DISTINCT CAST({0} AS VARCHAR), ',' ORDER BY CAST({0} AS VARCHAR)), '')",
@@ -30,6 +31,7 @@ _DUCK = {
     "RX": "regexp_replace({0}, {1}, {2}, 'g')",
     "BIG": "CAST({0} AS BIGINT)",
     "FOUND": "regexp_extract_all({0}, {1}, 1)",
+    "LASTOF": "{0}.{1}",
 }
 _NAME = re.compile(r"\b(" + "|".join(_SPARK) + r")\(")
 
@@ -52,8 +54,12 @@ def _render(sql: str, macros: dict[str, str]) -> str:
     return sql
 
 
+_PACK = re.compile(r"struct_pack\(([^()]*)\)")
+
+
 def spark_sql(sql: str) -> str:
-    return _render(sql, _SPARK)
+    packed = lambda m: "named_struct(" + re.sub(r"(\w+) := ", r"'\1', ", m[1]) + ")"
+    return _render(_PACK.sub(packed, sql), _SPARK)
 
 
 def duck_sql(sql: str) -> str:

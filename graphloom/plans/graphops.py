@@ -77,10 +77,6 @@ def pth07_migration_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("node").alias("program"), "layer", "tier")
 
 
-def agg05_dead_code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pth04_dead_paragraphs(spark, sf_dir).groupBy("program").agg(F.count(F.lit(1)).alias("dead"))
-
-
 def src29_node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All program rows folded into one per key, column by column."""
     return upsert.upsert(table(spark, sf_dir, "programs"), "program_id", "ingested_at", ["file_path", "source_language", "line_count", "execution_mode", "risk_score"])
@@ -167,7 +163,7 @@ def fts01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pth01_call_chain, pth02_impact, pth04_dead_paragraphs, pth06_shortest_path, pth07_migration_sequence, agg05_dead_code_summary, src29_node_upsert, src30_shared_upsert, src31_edge_upsert,
+        pth01_call_chain, pth02_impact, pth04_dead_paragraphs, pth06_shortest_path, pth07_migration_sequence, src29_node_upsert, src30_shared_upsert, src31_edge_upsert,
         src35_stubs, inc02_changed, inc14_completion, jsn26_first_wins, txt02_strip_sequence, txt09_paragraphs, txt31_data_hierarchy, txt32_pic_types, txt34_fuzzy, txt44_tagged_gaps, fts01_search,
     )
 }
@@ -186,7 +182,6 @@ _RAW = {
   d AS (SELECT program, count(*) AS n FROM down GROUP BY 1), u AS (SELECT other, count(*) AS n FROM down GROUP BY 1)
   SELECT p.id AS program, coalesce(d.n, 0) AS down, coalesce(u.n, 0) AS up, coalesce(d.n, 0) + coalesce(u.n, 0) AS total FROM program p LEFT JOIN d ON d.program = p.id LEFT JOIN u ON u.other = p.id""",
     "pth04_dead_paragraphs": _DEAD + "SELECT program, i AS paragraph FROM dead",
-    "agg05_dead_code_summary": _DEAD + "SELECT program, count(*) AS dead FROM dead GROUP BY program",
     "src29_node_upsert": "SELECT program_id, "
     + ", ".join(f"arg_max({c}, ingested_at) FILTER ({c} IS NOT NULL) AS {c}" for c in ("file_path", "source_language", "line_count", "execution_mode", "risk_score"))
     + " FROM (SELECT DISTINCT * FROM programs) GROUP BY 1",
@@ -230,13 +225,6 @@ def mut05_link_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.link_cards(cards, files)
 
 
-def mut06_merge_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains whose overlap is over four fifths of the smaller one become one."""
-    from .listings import QUERIES as listed
-
-    return repair.merge_domains(view(spark, sf_dir, "domain"), listed["agg10_domain_overlap"](spark, sf_dir).select(F.col("domain_a").alias("a"), F.col("domain_b").alias("b")))
-
-
 def src07_content_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", classify.by_content(F.col("text")).alias("kind"))
 
@@ -260,7 +248,7 @@ def ext01_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.windowed(table(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day")
 
 
-QUERIES |= {f.__name__: f for f in (mut01_mark_external, mut03_revive, mut05_link_cards, mut06_merge_domains, src07_content_kind, jsn32_document_kind, jsn21_enum, txt26_packed_sections, ext01_event_windows)}
+QUERIES |= {f.__name__: f for f in (mut01_mark_external, mut03_revive, mut05_link_cards, src07_content_kind, jsn32_document_kind, jsn21_enum, txt26_packed_sections, ext01_event_windows)}
 ORACLE |= {
     k: duck(v)
     for k, v in {

@@ -10,20 +10,12 @@ from .views import duck, run
 
 SQL = {
     # --- listings
-    "lst01_programs": "SELECT p.id, p.codebase, p.language, BIG(count(c.dst)) AS callees FROM program p LEFT JOIN calls c ON c.src = p.id GROUP BY p.id, p.codebase, p.language",
-    "lst02_program_detail": """SELECT p.id, p.file_path, coalesce(o.callees, '') AS callees, coalesce(i.callers, '') AS callers, coalesce(b.books, '') AS copybooks, coalesce(t.tabs, '') AS tables FROM program p
-      LEFT JOIN (SELECT src, TEXTS(dst) AS callees FROM calls GROUP BY src) o ON o.src = p.id LEFT JOIN (SELECT dst, TEXTS(src) AS callers FROM calls GROUP BY dst) i ON i.dst = p.id
-      LEFT JOIN (SELECT program, TEXTS(copybook) AS books FROM includes GROUP BY program) b ON b.program = p.id LEFT JOIN (SELECT program, TEXTS(tab) AS tabs FROM accesses GROUP BY program) t ON t.program = p.id""",
     "lst03_data_items": "SELECT program, level, name, picture, usage, copybook, item_id FROM item",
-    "lst04_copybooks": "SELECT copybook, BIG(count(DISTINCT program)) AS programs FROM includes GROUP BY copybook",
     "lst05_copybook_usage": "SELECT copybook, TEXTS(program) AS programs FROM includes GROUP BY copybook",
-    "lst06_copybook_structure": "SELECT copybook, level, name, BIG(count(*)) AS items FROM item WHERE copybook <> '' GROUP BY copybook, level, name",
     "lst07_conditions": "SELECT program, name, line_no, item_id FROM item WHERE level = 88",
     "lst08_parameters": "SELECT program, name, level, item_id FROM item WHERE name LIKE 'LK-%'",
     "lst13_cics_commands": "SELECT program, command FROM cics",
     "lst14_paragraph_flow": "SELECT program, src, dst, 'PERFORMS' AS kind FROM performs UNION SELECT DISTINCT program_id_no, i, (i + 1) % 10, 'PERFORMS_THRU' FROM (SELECT program AS program_id_no, i FROM paragraph) q WHERE i < 3",
-    "lst17_bridge_programs": """SELECT c.src AS program, TEXTS(d.domain) AS domains, BIG(count(DISTINCT d.domain)) AS n FROM calls c JOIN domain d ON d.program = c.dst WHERE d.domain LIKE 'letter%'
-      GROUP BY c.src HAVING count(DISTINCT d.domain) >= 3""",
     "lst18_copybook_risks": "SELECT copybook, n, CASE WHEN n >= 100 THEN 'CRITICAL' WHEN n >= 30 THEN 'HIGH' WHEN n >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT copybook, BIG(count(*)) AS n FROM includes GROUP BY copybook) x",
     "lst20_risk_programs": "SELECT id, risk FROM program WHERE risk >= 0.5 AND file_path IS NOT NULL",
     "lst22_business_domains": "SELECT domain, BIG(count(*)) AS programs FROM domain GROUP BY domain",
@@ -32,7 +24,6 @@ SQL = {
     "lst25_jcl_job_detail": "SELECT s.job, s.step, s.program, TEXTS(d.dsname) AS datasets FROM step s LEFT JOIN dd d ON d.job = s.job AND d.step = s.step GROUP BY s.job, s.step, s.program",
     "lst26_program_jcl": "SELECT program, TEXTS(job) AS jobs, LISTED(step) AS steps FROM step GROUP BY program",
     "lst27_dataset_usage": "SELECT dsname, is_input, is_output, BIG(count(DISTINCT job)) AS jobs, BIG(count(*)) AS steps FROM dd GROUP BY dsname, is_input, is_output",
-    "lst28_db_tables": "SELECT tab, BIG(count(DISTINCT program)) AS programs FROM accesses GROUP BY tab",
     "lst29_table_usage": "SELECT tab, program, TEXTS(op) AS ops FROM accesses GROUP BY tab, program",
     "lst30_program_tables": "SELECT program, TEXTS(tab) AS tables, TEXTS(op) AS ops FROM accesses GROUP BY program",
     "lst35_codebases": "SELECT DISTINCT codebase FROM program WHERE codebase IS NOT NULL",
@@ -48,19 +39,9 @@ SQL = {
     "lst21_volume_estimates": "SELECT id, CASE WHEN line_count >= 1500 THEN 'HIGH' WHEN line_count >= 500 THEN 'MEDIUM' ELSE 'LOW' END AS volume FROM program WHERE line_count IS NOT NULL",
     "lst27_datasets_of_texts": "SELECT dsname, BIG(count(DISTINCT doc_id)) AS jobs, BIG(count(*)) AS cards FROM dataset_of GROUP BY dsname",
     # --- joins
-    "joi04_steps_to_programs": "SELECT DISTINCT e.doc_id, e.step, p.id AS program FROM exec_of e JOIN program p ON p.name = e.program",
     "joi13_missing_moves": "SELECT d.doc_id FROM (SELECT DISTINCT doc_id FROM documents WHERE text LIKE '%PROGRAM-ID.%') d WHERE NOT EXISTS (SELECT 1 FROM move m WHERE m.doc_id = d.doc_id)",
-    "joi16_unlinked_files": "SELECT file_name FROM (SELECT DISTINCT file_name FROM chunk WHERE file_name IS NOT NULL) f WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.file_name = f.file_name AND c.chunk_index > 0)",
-    "joi18_similar_fields": """SELECT m.doc_id, m.src, m.dst FROM move m WHERE split_part(m.src, '-', 2) = split_part(m.dst, '-', 2) AND m.src <> m.dst""",
-    "agg12_coverage": """SELECT d.domain, BIG(count(*)) AS programs, BIG(sum(CASE WHEN x.program IS NOT NULL THEN 1 ELSE 0 END)) AS covered FROM domain d LEFT JOIN (SELECT DISTINCT program FROM accesses) x ON x.program = d.program GROUP BY d.domain""",
-    "agg13_corpus_dashboard": "SELECT 'documents' AS what, BIG(count(*)) AS n FROM documents UNION ALL SELECT 'moves', BIG(count(*)) FROM move UNION ALL SELECT 'performs', BIG(count(*)) FROM perform_of UNION ALL SELECT 'steps', BIG(count(*)) FROM exec_of UNION ALL SELECT 'data sets', BIG(count(*)) FROM dataset_of",
-    "nq09_performs_by_text": "SELECT doc_id, BIG(count(*)) AS performs, min(target) AS first_target FROM perform_of GROUP BY doc_id",
     "nq10_programs_without_job": "SELECT id FROM program p WHERE NOT external AND NOT EXISTS (SELECT 1 FROM exec_of e WHERE e.program = p.name)",
-    "nq16_dangling_performs": "SELECT f.doc_id, f.target FROM perform_of f WHERE NOT EXISTS (SELECT 1 FROM paragraph_of p WHERE p.doc_id = f.doc_id AND p.name = f.target)",
     "nq17_programs_by_risk": "SELECT id, risk FROM program WHERE risk > 0 ORDER BY risk DESC, id LIMIT 100",
-    "oth15_parent_level": "SELECT a.program, a.name, min(b.level) AS level FROM item a JOIN item b ON b.program = a.program AND b.name = a.name GROUP BY a.program, a.name",
-    "oth30_repeated_texts": "SELECT sha256_hex(text) AS sha256, BIG(count(*)) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY sha256_hex(text) HAVING count(*) > 1",
-    "oth57_messages_by_session": "SELECT session_id, BIG(count(*)) AS messages, BIG(sum(DIV(BYTES(coalesce(content, '')) * 10, 32))) AS tokens, min(seq) AS first_seq, max(seq) AS last_seq FROM message GROUP BY session_id",
     "joi01_shared_files": "SELECT w.program AS src, r.program AS dst, BIG(count(*)) AS files FROM writes w JOIN reads r ON r.file = w.file AND r.program <> w.program GROUP BY w.program, r.program",
     # a flow runs from every writer of a table to every reader: one row per end instead of one per pair
     "joi02_db2_flows": """SELECT DISTINCT a.tab, a.program, CASE WHEN a.op = 'SELECT' THEN 'reader' ELSE 'writer' END AS side, n.writers, n.readers FROM accesses a
@@ -69,16 +50,13 @@ SQL = {
     "joi03_dd_to_files": "SELECT DISTINCT d.dsname, s.s_suppkey AS file FROM dd d JOIN supplier s ON d.dsname = 'PROD.S' || s.s_suppkey",
     "joi05_queue_flows": """SELECT queue, BIG(count(DISTINCT CASE WHEN way = 'WRITE' THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN way = 'READ' THEN program END)) AS readers FROM queue_use GROUP BY queue""",
     "joi07_jcl_sequence": """SELECT DISTINCT a.job, a.step AS before_step, b.step AS after_step, a.dsname FROM dd a JOIN dd b ON b.job = a.job AND b.dsname = a.dsname AND a.step < b.step WHERE a.is_output AND b.is_input""",
-    "joi08_tables_with_copybooks": """SELECT t.tab, i.copybook, BIG(count(DISTINCT t.program)) AS programs FROM accesses t JOIN includes i ON i.program = t.program GROUP BY t.tab, i.copybook HAVING count(DISTINCT t.program) > 1""",
     "joi09_call_pairs": """SELECT c.src, c.dst, coalesce(i.n, 0) AS caller_items, p.n AS callee_parameters FROM calls c JOIN (SELECT program, BIG(count(*)) AS n FROM item WHERE name LIKE 'LK-%' GROUP BY program) p ON p.program = c.dst
       LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM item WHERE level IN (1, 77) GROUP BY program) i ON i.program = c.src""",
     "joi11_program_children": """SELECT p.id, coalesce(a.n, 0) AS items, coalesce(b.n, 0) AS copybooks, coalesce(c.n, 0) AS tables, coalesce(d.n, 0) AS commands FROM program p
       LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM item GROUP BY program) a ON a.program = p.id LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM includes GROUP BY program) b ON b.program = p.id
       LEFT JOIN (SELECT program, BIG(count(DISTINCT tab)) AS n FROM accesses GROUP BY program) c ON c.program = p.id LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM cics GROUP BY program) d ON d.program = p.id""",
-    "joi12_missing_hierarchy": "SELECT DISTINCT program FROM item a WHERE NOT EXISTS (SELECT 1 FROM item b WHERE b.program = a.program AND b.level > 1 AND b.level < 50)",
     "joi14_missing_calls": "SELECT id FROM program p WHERE EXISTS (SELECT 1 FROM called c WHERE c.src = p.id) AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.src = p.id)",
     "joi15_orphan_programs": "SELECT id FROM program p WHERE file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst = p.id)",
-    "joi17_files_never_referenced": "SELECT file_name FROM (SELECT DISTINCT file_name FROM chunk WHERE file_name IS NOT NULL) f WHERE NOT EXISTS (SELECT 1 FROM chunk c WHERE c.file_name = f.file_name AND c.content LIKE '%-%')",
     "joi19_io_candidates": "SELECT DISTINCT program FROM cics UNION SELECT DISTINCT program FROM accesses",
     "joi20_cross_codebase_calls": """SELECT DISTINCT a.codebase AS src_codebase, b.codebase AS dst_codebase, a.id AS src, b.id AS dst FROM program a JOIN called c ON c.src = a.id JOIN program b ON b.name = split_part(c.dst, '::', -1)
       WHERE a.codebase <> b.codebase AND b.external AND NOT EXISTS (SELECT 1 FROM program q WHERE q.id = c.dst AND NOT q.external)""",
@@ -89,34 +67,18 @@ SQL = {
     "joi24_call_graph": "SELECT p.id, c.dst FROM program p LEFT JOIN calls c ON c.src = p.id",
     "joi25_full_graph": "SELECT 'program' AS label, id AS node FROM program UNION SELECT 'copybook', copybook FROM includes UNION SELECT 'table', tab FROM accesses UNION SELECT 'domain', domain FROM domain",
     # --- aggregations
-    "agg01_dashboard": """SELECT 'programs' AS what, BIG(count(*)) AS n FROM program UNION ALL SELECT 'external', BIG(count(*)) FROM program WHERE external UNION ALL SELECT 'calls', BIG(count(*)) FROM calls
-      UNION ALL SELECT 'copybooks', BIG(count(DISTINCT copybook)) FROM includes UNION ALL SELECT 'items', BIG(count(*)) FROM item UNION ALL SELECT 'tables', BIG(count(DISTINCT tab)) FROM accesses
-      UNION ALL SELECT 'domains', BIG(count(DISTINCT domain)) FROM domain UNION ALL SELECT 'jobs', BIG(count(*)) FROM job UNION ALL SELECT 'paragraphs', BIG(count(*)) FROM paragraph""",
     "agg02_hubs": "SELECT c.dst AS program, BIG(count(DISTINCT c.src)) AS callers FROM calls c GROUP BY c.dst HAVING count(DISTINCT c.src) >= 5",
     "agg03_copybook_clusters": "SELECT copybook, TEXTS(program) AS programs, BIG(count(*)) AS n FROM includes GROUP BY copybook HAVING count(*) > 1",
-    "agg04_effort": """SELECT p.id, 3 * coalesce(b.n, 0) + 3 * coalesce(t.n, 0) + 4 * coalesce(k.n, 0) + DIV(coalesce(p.line_count, 0), 500) AS score FROM program p
-      LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM includes GROUP BY program) b ON b.program = p.id LEFT JOIN (SELECT program, BIG(count(DISTINCT tab)) AS n FROM accesses GROUP BY program) t ON t.program = p.id
-      LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM cics GROUP BY program) k ON k.program = p.id""",
     "agg06_shared_channels": """SELECT w.file, BIG(count(DISTINCT w.program)) AS writers, BIG(count(DISTINCT r.program)) AS readers FROM writes w JOIN reads r ON r.file = w.file AND r.program <> w.program GROUP BY w.file""",
     "agg07_cross_program_flow": """SELECT program, way, BIG(count(*)) AS n FROM (SELECT DISTINCT w.program, r.program AS other, 'outbound' AS way FROM writes w JOIN reads r ON r.file = w.file AND r.program <> w.program
       UNION ALL SELECT DISTINCT r.program, w.program, 'inbound' FROM writes w JOIN reads r ON r.file = w.file AND r.program <> w.program) x GROUP BY program, way""",
     "agg08_file_accessors": """SELECT file, program, CASE WHEN max(w) = 1 AND max(r) = 1 THEN 'READS_WRITES' WHEN max(w) = 1 THEN 'WRITES' ELSE 'READS' END AS access
       FROM (SELECT file, program, 1 AS w, 0 AS r FROM writes UNION ALL SELECT file, program, 0, 1 FROM reads) x GROUP BY file, program""",
-    "agg09_paragraph_calls": "SELECT src, TEXTS(from_paragraph) AS paragraphs FROM called WHERE from_paragraph IS NOT NULL GROUP BY src",
-    "agg10_domain_overlap": """SELECT a.domain AS domain_a, b.domain AS domain_b, BIG(count(*)) AS shared, max(least(x.n, y.n)) AS smaller FROM domain a JOIN domain b ON b.program = a.program AND a.domain < b.domain
-      JOIN (SELECT domain, BIG(count(*)) AS n FROM domain GROUP BY domain) x ON x.domain = a.domain JOIN (SELECT domain, BIG(count(*)) AS n FROM domain GROUP BY domain) y ON y.domain = b.domain
-      GROUP BY a.domain, b.domain HAVING count(*) * 10 > max(least(x.n, y.n)) * 8""",
-    "agg11_domain_candidates": """SELECT a.domain AS domain_a, b.domain AS domain_b, BIG(count(*)) AS shared, max(least(x.n, y.n)) AS smaller FROM domain a JOIN domain b ON b.program = a.program AND a.domain < b.domain
-      JOIN (SELECT domain, BIG(count(*)) AS n FROM domain GROUP BY domain) x ON x.domain = a.domain JOIN (SELECT domain, BIG(count(*)) AS n FROM domain GROUP BY domain) y ON y.domain = b.domain
-      GROUP BY a.domain, b.domain HAVING count(*) * 10 >= max(least(x.n, y.n)) * 4 AND count(*) * 10 < max(least(x.n, y.n)) * 8""",
     "agg14_program_context": """SELECT p.id, BIG(count(DISTINCT i.item_id)) AS items, max(b.books) AS copybooks FROM program p LEFT JOIN item i ON i.program = p.id
       LEFT JOIN (SELECT program, TEXTS(copybook) AS books FROM includes GROUP BY program) b ON b.program = p.id GROUP BY p.id""",
     "agg15_program_slice": """SELECT p.id, p.mode, p.external, coalesce(b.x, '') AS copybooks, coalesce(t.x, '') AS tables, coalesce(c.x, '') AS callees, coalesce(k.x, '') AS commands FROM program p
       LEFT JOIN (SELECT program, TEXTS(copybook) AS x FROM includes GROUP BY program) b ON b.program = p.id LEFT JOIN (SELECT program, TEXTS(tab) AS x FROM accesses GROUP BY program) t ON t.program = p.id
       LEFT JOIN (SELECT src, TEXTS(dst) AS x FROM calls GROUP BY src) c ON c.src = p.id LEFT JOIN (SELECT program, TEXTS(command) AS x FROM cics GROUP BY program) k ON k.program = p.id""",
-    "agg17_validation": """SELECT 'no_language' AS name, BIG(count(*)) AS n, min(id) AS sample FROM program WHERE language IS NULL UNION ALL SELECT 'no_risk', BIG(count(*)), min(id) FROM program WHERE risk IS NULL
-      UNION ALL SELECT 'no_items', BIG(count(*)), min(id) FROM program p WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.program = p.id) UNION ALL SELECT 'orphans', BIG(count(*)), min(id) FROM program p WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst = p.id)
-      UNION ALL SELECT 'dangling_calls', BIG(count(*)), min(dst) FROM called c WHERE NOT EXISTS (SELECT 1 FROM program p WHERE p.id = c.dst) UNION ALL SELECT 'deleted', BIG(count(*)), min(id) FROM program WHERE deleted_at IS NOT NULL""",
     "agg19_token_sums": "SELECT lower(split_part(file_name, '.', -1)) AS kind, BIG(count(*)) AS chunks, BIG(sum(DIV(BYTES(content) * 10, 32))) AS tokens FROM chunk WHERE content IS NOT NULL GROUP BY lower(split_part(file_name, '.', -1))",
     # --- named queries
     "nq01_top_by_risk": "SELECT p.id, p.risk, BIG(count(i.copybook)) AS copybooks FROM program p LEFT JOIN includes i ON i.program = p.id GROUP BY p.id, p.risk ORDER BY risk DESC NULLS FIRST, id LIMIT 100",
@@ -126,12 +88,9 @@ SQL = {
     "nq05_cross_domain_calls": "SELECT a.domain AS src_domain, b.domain AS dst_domain, BIG(count(*)) AS calls FROM calls c JOIN domain a ON a.program = c.src JOIN domain b ON b.program = c.dst WHERE a.domain <> b.domain GROUP BY a.domain, b.domain",
     "nq06_programs_touching_table": "SELECT tab, program, op FROM accesses WHERE contains(upper(tab), 'ACCOUNT')",
     "nq07_programs_using_copybook": "SELECT i.program, d.domain FROM includes i LEFT JOIN domain d ON d.program = i.program WHERE i.copybook = 'STDHDR01'",
-    "nq10_batch_without_jcl": "SELECT p_partkey AS program FROM part p WHERE NOT EXISTS (SELECT 1 FROM step s WHERE s.program = p.p_partkey)",
     "nq11_text_search": "SELECT doc_id, n_chars FROM documents WHERE contains(upper(text), 'CHECKPOINT RECORD')",
     "nq12_linkage_coverage": """SELECT i.program, i.name, BIG(count(a.src)) AS callers FROM (SELECT DISTINCT program, name FROM item WHERE level = 1) i
       LEFT JOIN (SELECT DISTINCT c.src, c.dst, x.name FROM calls c JOIN item x ON x.program = c.src) a ON a.dst = i.program AND a.name = i.name GROUP BY i.program, i.name""",
-    "nq13_levels_per_program": "SELECT program, level, BIG(count(*)) AS n FROM item GROUP BY program, level",
-    "nq14_table_fanout": "SELECT split_part(tab, '.', 1) AS schema_name, BIG(count(DISTINCT program)) AS programs, BIG(count(DISTINCT tab)) AS tables FROM accesses GROUP BY split_part(tab, '.', 1)",
     "nq15_all_calls": "SELECT src, dst FROM calls ORDER BY src, dst LIMIT 100",
     "nq18_copybook_usage": "SELECT copybook, BIG(count(*)) AS programs FROM includes GROUP BY copybook ORDER BY programs DESC, copybook LIMIT 100",
     # --- text and source, as expressions

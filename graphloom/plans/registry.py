@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphops, listings, problems
+from . import answers, graphops, listings, problems
 
-PARTS = (problems, listings, graphops)
+PARTS = (problems, listings, graphops, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,10 +19,14 @@ TABLES = [
 ]
 
 VIEWS = {
-    # programs and what they name
+    # programs and what they name; of rows of one instant the largest by all columns
+    "latest_program": """SELECT program_id, LASTOF(r, codebase) AS codebase, LASTOF(r, file_path) AS file_path, LASTOF(r, source_language) AS source_language, LASTOF(r, line_count) AS line_count, LASTOF(r, execution_mode) AS execution_mode,
+      LASTOF(r, is_external) AS is_external, LASTOF(r, risk_score) AS risk_score, LASTOF(r, callees) AS callees, LASTOF(r, copybooks) AS copybooks, LASTOF(r, sql_tables) AS sql_tables, LASTOF(r, cics_commands) AS cics_commands, LASTOF(r, deleted_at) AS deleted_at
+      FROM (SELECT program_id, max(struct_pack(ingested_at := ingested_at, codebase := codebase, file_path := file_path, source_language := source_language, line_count := line_count, execution_mode := execution_mode, is_external := is_external,
+        risk_score := risk_score, callees := callees, copybooks := copybooks, sql_tables := sql_tables, cics_commands := cics_commands, deleted_at := deleted_at)) AS r FROM programs GROUP BY program_id) q""",
     "program": """SELECT program_id AS id, codebase, split_part(program_id, '::', -1) AS name, file_path, source_language AS language, line_count, execution_mode AS mode,
       coalesce(is_external, false) AS external, risk_score AS risk, callees, copybooks, sql_tables, cics_commands, deleted_at
-      FROM (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY ingested_at DESC) AS rn FROM programs) r WHERE rn = 1""",
+      FROM latest_program""",
     "called": """SELECT DISTINCT program_id AS src, is_dynamic, CASE WHEN contains(program_id, '::') THEN split_part(program_id, '::', 1) || '::' ELSE '' END || split_part(upper(STRIP(target)), '::', -1) AS dst,
       from_paragraph FROM call_targets WHERE target IS NOT NULL""",
     "calls": "SELECT DISTINCT c.src, c.dst FROM called c JOIN program a ON a.id = c.src JOIN program b ON b.id = c.dst",
@@ -54,6 +58,22 @@ VIEWS = {
     "perform_of": "SELECT DISTINCT doc_id, m AS target FROM (SELECT doc_id, UNNEST(FOUND(text, 'PERFORM ([A-Z0-9-]+)')) AS m FROM documents) u",
     "paragraph_of": "SELECT DISTINCT doc_id, m AS name FROM (SELECT doc_id, UNNEST(FOUND(text, '(?m)^ {7}([0-9][A-Z0-9-]+)[.]')) AS m FROM documents) u",
     "exec_of": "SELECT DISTINCT doc_id, split_part(m, ' EXEC PGM=', 1) AS step, split_part(m, ' EXEC PGM=', 2) AS program FROM (SELECT doc_id, UNNEST(FOUND(text, '//([A-Z0-9]+ EXEC PGM=[A-Z0-9]+)')) AS m FROM documents) u",
+    # notes on paragraphs, and the paragraphs that program texts have
+    "note": r"SELECT DISTINCT split_part(h, '.', 1) AS name, split_part(h, '.', 2) AS paragraph, doc_id FROM (SELECT doc_id, UNNEST(FOUND(text, '^([A-Z0-9]+[.][0-9]{4}-[A-Z0-9-]+): ')) AS h FROM documents) u",
+    "source_paragraph": r"SELECT DISTINCT split_part(split_part(text, 'PROGRAM-ID. ', 2), '.', 1) AS name, m AS paragraph FROM (SELECT text, UNNEST(FOUND(text, '(?m)^ {7}([0-9]{4}-[A-Z0-9-]+)[.]')) AS m FROM documents WHERE contains(text, 'PROGRAM-ID. ')) u",
+    # middleware: methods, mappings and settings; what a mapping takes from is a reference where a program has such a field
+    "entity": r"""SELECT DISTINCT file_name, 'Service' AS kind, m AS name FROM (SELECT file_name, UNNEST(FOUND(content, 'public [A-Za-z]+ ([A-Za-z0-9]+)[(]')) AS m FROM chunk WHERE file_name LIKE '%.java') a
+      UNION SELECT file_name, 'Mapping', m FROM (SELECT file_name, UNNEST(FOUND(content, ' to="([A-Za-z0-9]+)"')) AS m FROM chunk WHERE file_name LIKE '%.xml') b
+      UNION SELECT file_name, 'Setting', m FROM (SELECT file_name, UNNEST(FOUND(content, '(?m)^([A-Za-z0-9]+)[.]')) AS m FROM chunk WHERE file_name LIKE '%.properties') c""",
+    "entity_ref": r"""SELECT DISTINCT file_name, split_part(m, '" to="', 2) AS name, split_part(m, '" to="', 1) AS field FROM (SELECT file_name, UNNEST(FOUND(content, '<map from="([A-Z0-9-]+" to="[A-Za-z0-9]+)"')) AS m FROM chunk WHERE file_name LIKE '%.xml') u
+      WHERE split_part(m, '" to="', 1) IN (SELECT item_name FROM data_items)""",
+    # what programs call out of themselves: transfers of control with the target in quotes, and queue calls
+    "interface": "SELECT DISTINCT k.program, k.command, k.command || ' PROGRAM(''' || c.dst || ''')' AS details FROM cics k JOIN calls c ON c.src = k.program WHERE k.command IN ('LINK', 'XCTL')",
+    "mq": """SELECT DISTINCT user_id AS program, CASE event_type WHEN 'click' THEN 'MQPUT' WHEN 'view' THEN 'MQGET' WHEN 'purchase' THEN 'MQOPEN OUTPUT' WHEN 'signup' THEN 'MQOPEN INPUT' ELSE 'MQCLOSE' END || ' (''Q' || CAST(floor(value) AS INT) || ''')' AS details FROM events""",
+    # domains of the parts: one that all have, one that nine of ten share with it, one that half do
+    "part_domain": """SELECT p_partkey AS program, 'A' || (p_partkey % 8) AS domain FROM part UNION SELECT p_partkey, 'B' || (p_partkey % 8) FROM part WHERE p_partkey % 10 < 9
+      UNION SELECT p_partkey, 'C' || CASE WHEN DIV(p_partkey, 8) % 2 = 0 THEN p_partkey % 8 ELSE (p_partkey + 7) % 8 END FROM part""",
+    "part_includes": "SELECT DISTINCT l_partkey AS program, l_suppkey AS copybook FROM lineitem",
     "dataset_of": "SELECT DISTINCT doc_id, split_part(m, ' DD DSN=', 1) AS dd_name, split_part(m, ' DD DSN=', 2) AS dsname FROM (SELECT doc_id, UNNEST(FOUND(text, '//([A-Z0-9]+ DD DSN=[A-Z0-9.]+)')) AS m FROM documents) u",
 }
 _WORD = re.compile(r"\b[a-z_]+\b")
