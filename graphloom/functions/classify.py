@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Extensions, keywords and enumerations.
@@ -55,10 +55,12 @@ def content_eligible(path: Column) -> Column:
 
 
 def by_content(text: Column) -> Column:
-    """JCL, COBOL or COPYBOOK by how many lines carry each kind's signals; null where no line carries any."""
+    """JCL, COBOL or COPYBOOK by how many lines carry each kind's signals; null where no line carries any. Blanks at both
+    ends of a line are no part of a signal, but for job control, which begins in the first column."""
     lines = F.split(text, "\n")
-    n = lambda pattern: F.size(F.filter(lines, lambda x: F.upper(x).rlike(pattern)))
-    exact = lambda word: F.size(F.filter(lines, lambda x: F.contains(F.upper(x), F.lit(word))))
+    bare = F.transform(lines, lambda x: F.upper(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    n = lambda pattern: F.size(F.filter(bare, lambda x: x.rlike(pattern)))
+    exact = lambda word: F.size(F.filter(bare, lambda x: F.contains(x, F.lit(word))))
     program, copybook = sum((exact(w) for w in PROGRAM_SIGNALS), F.lit(0)), sum((n(p) for p in COPYBOOK_SIGNALS), F.lit(0))
     named = exact("PROGRAM-ID") > 0
     jcl = F.size(F.filter(lines, lambda x: x.rlike(JCL_SIGNAL)))
@@ -92,3 +94,61 @@ def trim_comment_header(text: Column) -> Column:
     lines = F.split(text, "\n")
     first = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(r"^[^*]"), i)), lambda i: i.isNotNull()))
     return F.when(first.isNull(), text).otherwise(F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n"))
+
+
+#: Extensions of archive entries that can be read (fixed values).
+ANALYZABLE = ("java", "xml", "properties", "txt", "md", "json", "yml", "yaml", "cfg", "conf", "class")
+#: What tells a repository's files apart: parts of a test's path, of a build file's, and extensions of schemas and settings (fixed values).
+TEST_SIGNS = ("_test.", "test_", "/test/", "/tests/", "/spec/", "__test__", ".spec.", ".test.")
+BUILD_SIGNS = (".gradle", "pom.xml", "makefile", "dockerfile", ".dockerfile", "docker-compose", ".sh", ".bat", ".cmd", "jenkinsfile", ".github")
+SCHEMAS = ("graphql", "proto", "wsdl", "xsd", "avsc")
+SETTINGS = ("yaml", "yml", "json", "xml", "toml", "ini", "properties", "env")
+#: Languages of a repository's files by extension; markup doesn't count for the main one (fixed values).
+LANGUAGES = {
+    "java": "Java", "kt": "Kotlin", "scala": "Scala", "cs": "C#", "vb": "VB.NET", "py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "go": "Go", "rb": "Ruby", "php": "PHP", "rs": "Rust",
+    "swift": "Swift", "cpp": "C++", "cc": "C++", "c": "C", "xml": "XML", "yaml": "YAML", "yml": "YAML", "json": "JSON", "graphql": "GraphQL", "proto": "Protobuf",
+}
+MARKUP = ("XML", "YAML", "JSON")
+#: Directives of a text diagram and what they draw, in the order they are looked for (fixed values).
+DIAGRAMS = {
+    "@startuml": "UML", "@startmindmap": "Mind Map", "@startwbs": "Work Breakdown Structure", "@startgantt": "Gantt Chart", "@startjson": "JSON", "@startyaml": "YAML", "@startditaa": "Ditaa", "@startsalt": "Salt (UI Wireframe)",
+}
+
+
+def _any_of(c: Column, signs: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(x) for x in signs]), lambda x: F.contains(c, x))
+
+
+def analyzable(entry: Column) -> Column:
+    """Whether an archive's entry can be read; a manifest always."""
+    return F.upper(entry).endswith("MANIFEST.MF") | extension(entry).isin(*ANALYZABLE)
+
+
+def repo_category(path: Column) -> Column:
+    """What a file of a repository is for: the first that fits of test, schema, build, config, source, other."""
+    low, ext = F.lower(path), extension(path)
+    return F.when(_any_of(low, TEST_SIGNS), "test").when(ext.isin(*SCHEMAS), "schema").when(_any_of(low, BUILD_SIGNS), "build").when(ext.isin(*SETTINGS), "config").when(ext.isin(*LANGUAGES), "source").otherwise("other")
+
+
+def primary_language(files: DataFrame, path: str) -> DataFrame:
+    """(language): what most files of a repository are in, markup left out; of several the last by name. No row without any."""
+    named = files.select(F.try_element_at(_map(LANGUAGES), extension(F.col(path))).alias("language")).where(~F.col("language").isin(*MARKUP))
+    return named.groupBy("language").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "language")).alias("m")).where("m is not null").select("m.language")
+
+
+def repo_provider(url: Column) -> Column:
+    return F.when(F.contains(url, F.lit("github.com")), "github").when(_any_of(url, ("dev.azure.com", "visualstudio.com")), "azure_devops").otherwise("generic")
+
+
+def repo_name(url: Column) -> Column:
+    """The last part of the address's path, without .git; the address itself where it has no path."""
+    path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"[?#].*$", "")
+    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(path, r"[.]git$", ""), "([^/]+)/*$", 1), F.lit("")), url)
+
+
+def plantuml_kind(text: Column) -> Column:
+    """What a text diagram draws, by the first directive of the list that it holds; empty without any."""
+    out = F.lit("")
+    for directive, kind in reversed(DIAGRAMS.items()):
+        out = F.when(F.contains(F.lower(text), F.lit(directive)), kind).otherwise(out)
+    return out

@@ -16,8 +16,14 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
 
 
 def strip_sequence(text: Column) -> Column:
-    """Columns 7 to 72 of every line; lines under seven characters stay."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) < 7, x).otherwise(F.substring(x, 7, 66))), "\n")
+    """Bytes 7 to 72 of every line; lines under seven bytes stay. A character that an edge cuts in two drops out.
+
+    The UTF-8 bytes are read as Latin-1, so a character is a byte.
+    """
+    lines = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "\n")
+    whole = lambda x: F.regexp_replace(x, r"^[\x80-\xBF]+|(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z", "")
+    cut = F.array_join(F.transform(lines, lambda x: F.when(F.length(x) < 7, x).otherwise(whole(F.substring(x, 7, 66)))), "\n")
+    return F.decode(F.encode(cut, "ISO-8859-1"), "UTF-8")
 
 
 def join_continuations(text: Column) -> Column:

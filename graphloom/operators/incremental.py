@@ -46,3 +46,23 @@ def calibration(samples: DataFrame, key: str, seq: str, estimated: str, actual:
     """``samples`` with ``factor``: the mean of actual over estimated in the last so many samples of the key, this one included; samples without an estimate don't count."""
     w = Window.partitionBy(key).orderBy(seq).rowsBetween(1 - last, 0)
     return samples.withColumn("factor", F.avg(F.when(F.col(estimated) > 0, F.col(actual) / F.col(estimated))).over(w))
+
+
+def cached(paths: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses): ``paths`` (path, hash) that ``store`` (path, hash, kind, confidence) knows under the same hash, with
+    what it knows, and the others; a null hash is never a hit."""
+    known = store.select("path", F.col("hash").alias("__hash"), "kind", "confidence")
+    joined = paths.select("path", "hash").join(known, "path", "left").withColumn("__hit", F.coalesce(F.col("hash") == F.col("__hash"), F.lit(False)))
+    return joined.where("__hit").select("path", "hash", "kind", "confidence"), joined.where("not __hit").select("path", "hash")
+
+
+def store_results(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The chunk results (path, pass, chunk, total, hash, result) with ``new`` over it, one per (path, pass, chunk)."""
+    columns = ["path", "pass", "chunk", "total", "hash", "result"]
+    latest = new.select(*columns).groupBy("path", "pass", "chunk").agg(F.max(F.struct("total", "hash", "result")).alias("v")).select("path", "pass", "chunk", "v.*")
+    return store.select(*columns).join(latest, ["path", "pass", "chunk"], "left_anti").unionByName(latest)
+
+
+def load_results(store: DataFrame, path: str, number: int) -> DataFrame:
+    """What is stored of a file's pass, in the order of its chunks."""
+    return store.where((F.col("path") == path) & (F.col("pass") == number)).orderBy("chunk")

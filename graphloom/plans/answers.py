@@ -382,7 +382,7 @@ _SHARED = """WITH sizes AS (SELECT domain, count(*) AS n FROM part_domain GROUP
   met AS (SELECT a.domain AS domain_a, b.domain AS domain_b, count(*) AS shared, list_sort(list(a.program)) AS ps FROM part_domain a JOIN part_domain b USING (program) WHERE a.domain < b.domain GROUP BY 1, 2),
   rated AS (SELECT m.*, least(x.n, y.n) AS smaller FROM met m JOIN sizes x ON x.domain = domain_a JOIN sizes y ON y.domain = domain_b) """
 _GAP = """gap AS (SELECT doc_id, g->>'id' AS id, arg_min(g->>'severity', pos) AS severity FROM (
-  SELECT doc_id, unnest(from_json(regexp_extract(text, '<gaps>(.*?)</gaps>', 1, 's'), '["JSON"]')) AS g, unnest(range(json_array_length(regexp_extract(text, '<gaps>(.*?)</gaps>', 1, 's')))) AS pos FROM documents WHERE contains(text, '<gaps>')) WHERE g->>'id' IS NOT NULL GROUP BY 1, 2)"""
+  SELECT doc_id, unnest(from_json(regexp_extract(text, '<gaps>(.*?)</gaps>', 1, 's'), '["JSON"]')) AS g, unnest(range(json_array_length(regexp_extract(text, '<gaps>(.*?)</gaps>', 1, 's'))::BIGINT)) AS pos FROM documents WHERE contains(text, '<gaps>')) WHERE g->>'id' IS NOT NULL GROUP BY 1, 2)"""
 _TARGET = "split_part(details, '''', 2)"
 
 ORACLE = {
@@ -451,5 +451,6 @@ ORACLE = {
   f AS (SELECT kind, w, count(*) AS df FROM h GROUP BY 1, 2)
   SELECT kind, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score FROM h JOIN f USING (kind, w) JOIN s USING (kind) GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= 50""",
+        "txt44_tagged_gaps": "WITH " + _GAP.replace("arg_min(g->>'severity', pos) AS severity", "arg_min(g->>'severity', pos) AS severity, arg_min(g->>'title', pos) AS title") + " SELECT doc_id, id, severity, title FROM gap",
     }.items()
 }

@@ -174,13 +174,19 @@ _DEAD = """WITH RECURSIVE entry_point AS (SELECT program, i FROM paragraph q WHE
   met AS (SELECT program, i FROM entry_point UNION SELECT m.program, f.dst FROM met m JOIN performs f ON f.program = m.program AND f.src = m.i),
   dead AS (SELECT q.program, q.i FROM paragraph q WHERE EXISTS (SELECT 1 FROM entry_point e WHERE e.program = q.program) AND NOT EXISTS (SELECT 1 FROM met m WHERE m.program = q.program AND m.i = q.i)) """
 _RAW = {
-    "pth06_shortest_path": _CHAIN.replace("src || ' > ' || dst", "[src, dst]").replace("w.path || ' > ' || c.dst", "list_append(w.path, c.dst)")
+    "pth06_shortest_path": _CHAIN.replace("w.depth < 3", "w.depth < 5").replace("src || ' > ' || dst", "[src, dst]").replace("w.path || ' > ' || c.dst", "list_append(w.path, c.dst)")
     + "SELECT program, callee, array_to_string(min(path), ' > ') AS path FROM (SELECT *, min(depth) OVER (PARTITION BY program, callee) AS least FROM walk) WHERE depth = least GROUP BY 1, 2",
-    "txt02_strip_sequence": "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) < 7 THEN x ELSE substr(x, 7, 66) END), chr(10)) AS text FROM documents WHERE text IS NOT NULL",
-    "pth01_call_chain": _CHAIN + "SELECT program, callee, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY program, callee",
-    "pth02_impact": """WITH down AS (SELECT src AS program, dst AS other FROM calls UNION SELECT a.src, b.dst FROM calls a JOIN calls b ON b.src = a.dst),
-  d AS (SELECT program, count(*) AS n FROM down GROUP BY 1), u AS (SELECT other, count(*) AS n FROM down GROUP BY 1)
-  SELECT p.id AS program, coalesce(d.n, 0) AS down, coalesce(u.n, 0) AS up, coalesce(d.n, 0) + coalesce(u.n, 0) AS total FROM program p LEFT JOIN d ON d.program = p.id LEFT JOIN u ON u.other = p.id""",
+    "txt02_strip_sequence": """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN strlen(x) < 7 THEN x ELSE array_to_string(list_transform(
+  list_filter(range(1, least(length(x), 72) + 1), lambda i: strlen(x[1:i - 1]) >= 6 AND strlen(x[1:i]) <= 72), lambda i: x[i]), '') END), chr(10)) AS text FROM documents WHERE text IS NOT NULL""",
+    "pth01_call_chain": _CHAIN + """, least AS (SELECT program, callee, min(depth)::INT AS depth FROM walk GROUP BY 1, 2)
+  SELECT program, callee AS other, depth, 'downstream' AS direction FROM least UNION ALL SELECT callee, program, depth, 'upstream' FROM least""",
+    "pth02_impact": """WITH RECURSIVE walk(program, other, depth) AS (SELECT src, dst, 1 FROM calls UNION SELECT w.program, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.other WHERE w.depth < 5),
+  met AS (SELECT DISTINCT program, other FROM walk), books AS (SELECT program, copybook FROM includes WHERE copybook IN (SELECT copybook FROM includes GROUP BY 1 HAVING count(*) > 1)),
+  cards AS (SELECT regexp_extract(step, '^//[A-Z0-9]+ EXEC PGM=([A-Z0-9]+)', 1) AS name, unnest(regexp_extract_all(step, '//[A-Z0-9]+ DD DSN=([A-Z0-9.]+)', 1)) AS dsname FROM (
+    SELECT unnest(regexp_extract_all(regexp_replace(text, '(//[A-Z0-9]+ EXEC PGM=)', chr(1) || '\\1', 'g'), chr(1) || '([^' || chr(1) || ']*)', 1)) AS step FROM documents WHERE contains(text, ' EXEC PGM='))),
+  files AS (SELECT DISTINCT p.id AS program, dsname FROM cards c JOIN program p ON p.name = c.name), shared AS (SELECT program, dsname FROM files WHERE dsname IN (SELECT dsname FROM files GROUP BY 1 HAVING count(DISTINCT program) > 1))
+  SELECT id AS program, (SELECT count(*) FROM met WHERE program = p.id) AS down, (SELECT count(*) FROM met WHERE other = p.id) AS up, (SELECT count(*) FROM met WHERE program = p.id) + (SELECT count(*) FROM met WHERE other = p.id) AS total,
+    (SELECT TEXTS(other) FROM met WHERE program = p.id) AS downstream, (SELECT TEXTS(program) FROM met WHERE other = p.id) AS upstream, (SELECT TEXTS(copybook) FROM books b WHERE b.program = p.id) AS shared_copybooks, (SELECT TEXTS(dsname) FROM shared s WHERE s.program = p.id) AS shared_files FROM program p""",
     "pth04_dead_paragraphs": _DEAD + "SELECT program, i AS paragraph FROM dead",
     "src29_node_upsert": "SELECT program_id, "
     + ", ".join(f"arg_max({c}, ingested_at) FILTER ({c} IS NOT NULL) AS {c}" for c in ("file_path", "source_language", "line_count", "execution_mode", "risk_score"))
@@ -189,8 +195,8 @@ _RAW = {
     "src31_edge_upsert": """SELECT 'CALLS' AS type, c.src, c.dst, max(struct_pack(s := t.extracted_at, v := t.is_dynamic)) FILTER (t.is_dynamic IS NOT NULL).v AS is_dynamic FROM calls c
   JOIN call_targets t ON t.program_id = c.src AND split_part(upper(STRIP(t.target)), '::', -1) = split_part(c.dst, '::', -1) GROUP BY 2, 3""",
     "src35_stubs": "SELECT DISTINCT dst AS program FROM called WHERE dst NOT IN (SELECT id FROM program)",
-    "inc02_changed": """SELECT program_id FROM (SELECT program_id, arg_max(h, ingested_at) AS a, arg_min(h, ingested_at) AS b FROM (SELECT program_id, ingested_at,
-  sha256(concat_ws('|', coalesce(file_path, ''), line_count::VARCHAR, array_to_string(callees, ','))) AS h FROM programs) GROUP BY 1) WHERE a <> b""",
+    "inc02_changed": """SELECT program_id FROM (SELECT program_id, arg_max(r, r.ingested_at) AS a, arg_min(r, r.ingested_at) AS b FROM (SELECT program_id, programs AS r FROM programs) GROUP BY 1)
+  WHERE struct_update(a, ingested_at := 0) IS DISTINCT FROM struct_update(b, ingested_at := 0)""",
     "inc14_completion": """SELECT file_name, count(DISTINCT CASE WHEN chunk_index >= 0 AND chunk_index < chunk_total THEN chunk_index END) AS parts, max(chunk_total) AS expected,
   coalesce(count(DISTINCT CASE WHEN chunk_index >= 0 AND chunk_index < chunk_total THEN chunk_index END) = max(chunk_total), false) AS complete FROM chunk WHERE file_name IS NOT NULL GROUP BY 1""",
     "jsn26_first_wins": "SELECT fqn, min(item_id) AS item_id, arg_min(struct_pack(p := picture), item_id).p AS picture FROM item GROUP BY 1",
@@ -254,7 +260,8 @@ ORACLE |= {
     for k, v in {
         "mut01_mark_external": """SELECT id, CASE WHEN file_path IS NULL AND id IN (SELECT dst FROM calls) THEN coalesce(language, 'EXTERNAL') ELSE language END AS language,
   external OR (file_path IS NULL AND id IN (SELECT dst FROM calls)) AS external FROM program""",
-        "mut03_revive": "SELECT id, deleted_at IS NOT NULL AND id NOT IN (SELECT c.dst FROM calls c JOIN program p ON p.id = c.src WHERE p.file_path IS NOT NULL) AS dead FROM program",
+        "mut03_revive": """SELECT id, deleted_at IS NOT NULL AND id NOT IN (SELECT c.dst FROM calls c JOIN program p ON p.id = c.src WHERE p.file_path IS NOT NULL) AND name NOT IN (
+  SELECT unnest(regexp_extract_all(text, '//[A-Z0-9]+ EXEC PGM=([A-Z0-9]+)', 1)) FROM documents WHERE text IS NOT NULL) AS dead FROM program""",
         "mut05_link_cards": "SELECT DISTINCT job || '/' || step || '/' || dsname AS dd, 'S' || s_suppkey AS file, 'dsname' AS method FROM dd JOIN supplier ON dsname = 'PROD.S' || s_suppkey",
         "jsn32_document_kind": "SELECT chunk_id, CASE lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'java' THEN 'Java' WHEN 'md' THEN 'Markdown' WHEN 'xml' THEN 'XML' ELSE 'Unknown' END AS kind FROM chunk",
         "jsn21_enum": "SELECT id, CASE WHEN upper(mode) IN ('BATCH', 'CICS', 'BATCH_AND_CICS', 'IDMS_DC', 'IDMS_BATCH') THEN upper(mode) ELSE 'UNKNOWN' END AS mode FROM program",

@@ -19,7 +19,7 @@ SQL = {
     "lst18_copybook_risks": "SELECT copybook, n, CASE WHEN n >= 100 THEN 'CRITICAL' WHEN n >= 30 THEN 'HIGH' WHEN n >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT copybook, BIG(count(*)) AS n FROM includes GROUP BY copybook) x",
     "lst20_risk_programs": "SELECT id, risk FROM program WHERE risk >= 0.5 AND file_path IS NOT NULL",
     "lst22_business_domains": "SELECT domain, BIG(count(*)) AS programs FROM domain GROUP BY domain",
-    "lst23_business_domain": "SELECT domain, TEXTS(program) AS programs FROM domain WHERE domain LIKE 'kind%' GROUP BY domain",
+    "lst23_business_domain": "SELECT domain, TEXTS(program) AS programs FROM domain GROUP BY domain",
     "lst24_jcl_jobs": "SELECT j.job, j.class, BIG(count(s.step)) AS steps FROM job j LEFT JOIN step s ON s.job = j.job GROUP BY j.job, j.class",
     "lst25_jcl_job_detail": "SELECT s.job, s.step, s.program, TEXTS(d.dsname) AS datasets FROM step s LEFT JOIN dd d ON d.job = s.job AND d.step = s.step GROUP BY s.job, s.step, s.program",
     "lst26_program_jcl": "SELECT program, TEXTS(job) AS jobs, LISTED(step) AS steps FROM step GROUP BY program",
@@ -48,7 +48,11 @@ SQL = {
       JOIN (SELECT tab, BIG(count(DISTINCT CASE WHEN op IN ('INSERT', 'UPDATE') THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN op = 'SELECT' THEN program END)) AS readers FROM accesses GROUP BY tab) n ON n.tab = a.tab
       WHERE a.op <> 'DELETE' AND n.writers > 0 AND n.readers > 0""",
     "joi03_dd_to_files": "SELECT DISTINCT d.dsname, s.s_suppkey AS file FROM dd d JOIN supplier s ON d.dsname = 'PROD.S' || s.s_suppkey",
-    "joi05_queue_flows": """SELECT queue, BIG(count(DISTINCT CASE WHEN way = 'WRITE' THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN way = 'READ' THEN program END)) AS readers FROM queue_use GROUP BY queue""",
+    # one row per end, as in joi02; an end counts only where another program stands on the other side
+    "joi05_queue_flows": """SELECT u.queue, u.program, CASE WHEN u.way = 'WRITE' THEN 'writer' ELSE 'reader' END AS side, n.writers, n.readers FROM queue_use u
+      JOIN (SELECT queue, BIG(count(DISTINCT CASE WHEN way = 'WRITE' THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN way = 'READ' THEN program END)) AS readers FROM queue_use GROUP BY queue) n ON n.queue = u.queue
+      LEFT JOIN (SELECT queue, program FROM queue_use GROUP BY queue, program HAVING count(DISTINCT way) = 2) b ON b.queue = u.queue AND b.program = u.program
+      WHERE u.program IS NOT NULL AND CASE WHEN u.way = 'WRITE' THEN n.readers ELSE n.writers END > CASE WHEN b.program IS NULL THEN 0 ELSE 1 END""",
     "joi07_jcl_sequence": """SELECT DISTINCT a.job, a.step AS before_step, b.step AS after_step, a.dsname FROM dd a JOIN dd b ON b.job = a.job AND b.dsname = a.dsname AND a.step < b.step WHERE a.is_output AND b.is_input""",
     "joi09_call_pairs": """SELECT c.src, c.dst, coalesce(i.n, 0) AS caller_items, p.n AS callee_parameters FROM calls c JOIN (SELECT program, BIG(count(*)) AS n FROM item WHERE name LIKE 'LK-%' GROUP BY program) p ON p.program = c.dst
       LEFT JOIN (SELECT program, BIG(count(*)) AS n FROM item WHERE level IN (1, 77) GROUP BY program) i ON i.program = c.src""",
@@ -100,7 +104,8 @@ SQL = {
     "src02_extension": """SELECT id, CASE lower(split_part(file_path, '.', -1)) WHEN 'cbl' THEN 'COBOL' WHEN 'cob' THEN 'COBOL' WHEN 'cpy' THEN 'COPYBOOK' WHEN 'cpb' THEN 'COPYBOOK' WHEN 'jcl' THEN 'JCL' WHEN 'asm' THEN 'ASM' WHEN 'bms' THEN 'BMS'
       WHEN 'pli' THEN 'PLI' ELSE 'UNKNOWN' END AS kind FROM program WHERE file_path IS NOT NULL""",
     "src05_hash_and_lines": "SELECT doc_id, sha256_hex(text) AS sha256, BIG(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END) AS line_count FROM documents WHERE text IS NOT NULL",
-    "src25_strip_tags": "SELECT chunk_id, trim(RX(content, '<[^>]*>', '')) AS text FROM chunk WHERE content IS NOT NULL AND NOT content LIKE '%' || chr(13) || '%'",
+    # a tag that isn't closed goes on to the end, a '>' outside of tags goes too; then white space off both ends
+    "src25_strip_tags": r"SELECT chunk_id, RX(RX(content, '<[^>]*>?|>', ''), '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z', '') AS text FROM chunk WHERE content IS NOT NULL",
     "txt39_context": "SELECT p.id, concat_ws('; ', 'program ' || p.id, 'mode ' || p.mode, 'uses ' || b.x) AS preamble FROM program p LEFT JOIN (SELECT program, TEXTS(copybook) AS x FROM includes GROUP BY program) b ON b.program = p.id",
     "oth13_edge_groups": "SELECT kind, BIG(count(*)) AS n FROM (SELECT 'CALLS' AS kind, src, dst FROM calls UNION ALL SELECT 'INCLUDES', program, copybook FROM includes UNION ALL SELECT 'ACCESSES', program, tab FROM accesses) e GROUP BY kind",
     "oth41_first_row_wins": "SELECT call_id, program_id, target FROM (SELECT call_id, program_id, target, row_number() OVER (PARTITION BY program_id, upper(STRIP(target)) ORDER BY call_id, from_paragraph) AS rn FROM call_targets) x WHERE rn = 1",
@@ -111,16 +116,11 @@ def _query(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, sql.replace("sha256_hex(text)", "sha2(text, 256)"))
 
 
-#: What the queries run where the statement above, which stays as DuckDB's, does less than the whole job.
-WHOLE = {
-    "lst23_business_domain": "SELECT domain, TEXTS(program) AS programs FROM domain GROUP BY domain",
-    # one row per end, as in joi02; an end counts only where another program stands on the other side
-    "joi05_queue_flows": """SELECT u.queue, u.program, CASE WHEN u.way = 'WRITE' THEN 'writer' ELSE 'reader' END AS side, n.writers, n.readers FROM queue_use u
-      JOIN (SELECT queue, BIG(count(DISTINCT CASE WHEN way = 'WRITE' THEN program END)) AS writers, BIG(count(DISTINCT CASE WHEN way = 'READ' THEN program END)) AS readers FROM queue_use GROUP BY queue) n ON n.queue = u.queue
-      LEFT JOIN (SELECT queue, program FROM queue_use GROUP BY queue, program HAVING count(DISTINCT way) = 2) b ON b.queue = u.queue AND b.program = u.program
-      WHERE u.program IS NOT NULL AND CASE WHEN u.way = 'WRITE' THEN n.readers ELSE n.writers END > CASE WHEN b.program IS NULL THEN 0 ELSE 1 END""",
-    # a tag that isn't closed goes on to the end, a '>' outside of tags goes too; then white space off both ends
-    "src25_strip_tags": r"SELECT chunk_id, RX(RX(content, '<[^>]*>?|>', ''), '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z', '') AS text FROM chunk WHERE content IS NOT NULL",
+#: The same in DuckDB where it is said another way.
+OTHER = {
+    "joi05_queue_flows": """SELECT DISTINCT a.queue, a.program, CASE a.way WHEN 'WRITE' THEN 'writer' ELSE 'reader' END AS side, (SELECT count(*) FROM queue_use w WHERE w.queue = a.queue AND way = 'WRITE') AS writers,
+      (SELECT count(*) FROM queue_use r WHERE r.queue = a.queue AND way = 'READ') AS readers FROM queue_use a WHERE EXISTS (SELECT 1 FROM queue_use b WHERE b.queue = a.queue AND b.way <> a.way AND b.program <> a.program)""",
+    "src25_strip_tags": r"SELECT chunk_id, regexp_replace(regexp_replace(content, '<[^>]*>?|>', '', 'g'), '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z', '', 'g') AS text FROM chunk WHERE content IS NOT NULL",
 }
-QUERIES = {name: partial(_query, WHOLE.get(name, sql)) for name, sql in SQL.items()}
-ORACLE = {name: duck(sql.replace("sha256_hex(text)", "sha256(text)")) for name, sql in SQL.items()}
+QUERIES = {name: partial(_query, sql) for name, sql in SQL.items()}
+ORACLE = {name: duck(OTHER.get(name, sql).replace("sha256_hex(text)", "sha256(text)")) for name, sql in SQL.items()}

@@ -19,11 +19,12 @@ TABLES = [
 ]
 
 VIEWS = {
-    # programs and what they name; of rows of one instant the largest by all columns
-    "latest_program": """SELECT program_id, LASTOF(r, codebase) AS codebase, LASTOF(r, file_path) AS file_path, LASTOF(r, source_language) AS source_language, LASTOF(r, line_count) AS line_count, LASTOF(r, execution_mode) AS execution_mode,
-      LASTOF(r, is_external) AS is_external, LASTOF(r, risk_score) AS risk_score, LASTOF(r, callees) AS callees, LASTOF(r, copybooks) AS copybooks, LASTOF(r, sql_tables) AS sql_tables, LASTOF(r, cics_commands) AS cics_commands, LASTOF(r, deleted_at) AS deleted_at
-      FROM (SELECT program_id, max(struct_pack(ingested_at := ingested_at, codebase := codebase, file_path := file_path, source_language := source_language, line_count := line_count, execution_mode := execution_mode, is_external := is_external,
-        risk_score := risk_score, callees := callees, copybooks := copybooks, sql_tables := sql_tables, cics_commands := cics_commands, deleted_at := deleted_at)) AS r FROM programs GROUP BY program_id) q""",
+    # programs and what they name; a column of its own each, so that a query reads what it needs: of rows of one instant the largest value
+    "latest_program": """SELECT program_id, LASTOF(max(struct_pack(at := ingested_at, v := codebase)), v) AS codebase, LASTOF(max(struct_pack(at := ingested_at, v := file_path)), v) AS file_path, LASTOF(max(struct_pack(at := ingested_at, v := source_language)), v) AS source_language,
+      LASTOF(max(struct_pack(at := ingested_at, v := line_count)), v) AS line_count, LASTOF(max(struct_pack(at := ingested_at, v := execution_mode)), v) AS execution_mode, LASTOF(max(struct_pack(at := ingested_at, v := is_external)), v) AS is_external,
+      LASTOF(max(struct_pack(at := ingested_at, v := risk_score)), v) AS risk_score, LASTOF(max(struct_pack(at := ingested_at, v := callees)), v) AS callees, LASTOF(max(struct_pack(at := ingested_at, v := copybooks)), v) AS copybooks,
+      LASTOF(max(struct_pack(at := ingested_at, v := sql_tables)), v) AS sql_tables, LASTOF(max(struct_pack(at := ingested_at, v := cics_commands)), v) AS cics_commands, LASTOF(max(struct_pack(at := ingested_at, v := deleted_at)), v) AS deleted_at
+      FROM programs GROUP BY program_id""",
     "program": """SELECT program_id AS id, codebase, split_part(program_id, '::', -1) AS name, file_path, source_language AS language, line_count, execution_mode AS mode,
       coalesce(is_external, false) AS external, risk_score AS risk, callees, copybooks, sql_tables, cics_commands, deleted_at
       FROM latest_program""",
@@ -35,7 +36,7 @@ VIEWS = {
     "accesses": """SELECT DISTINCT program, tab, CASE (coalesce(line_count, 0) + length(tab)) % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'SELECT' ELSE 'DELETE' END AS op
       FROM (SELECT id AS program, line_count, upper(trim(t)) AS tab FROM (SELECT id, line_count, UNNEST(sql_tables) AS t FROM program) u) v WHERE tab <> ''""",
     "cics": "SELECT DISTINCT program, command FROM (SELECT id AS program, upper(trim(c)) AS command FROM (SELECT id, UNNEST(cics_commands) AS c FROM program) u) v WHERE command <> ''",
-    "item": """SELECT DISTINCT item_id, program_id AS program, line_no, coalesce(level_no, CAST(substr(fqn, length(program_id) + 2, 2) AS INT)) AS level, item_name AS name, fqn, picture, upper(trim(usage_clause)) AS usage,
+    "item": """SELECT DISTINCT item_id, program_id AS program, line_no, coalesce(level_no, TRY_CAST(regexp_extract(fqn, '[.]([0-9]+)[.][^.]*$', 1) AS INT)) AS level, item_name AS name, fqn, picture, upper(trim(usage_clause)) AS usage,
       replace(upper(split_part(trim(copybook), ' ', 1)), '.CPY', '') AS copybook FROM data_items""",
     "domain": "SELECT DISTINCT id AS program, 'letter ' || substr(name, 1, 1) AS domain FROM program WHERE NOT external UNION SELECT DISTINCT id, 'kind ' || substr(name, 2, 2) FROM program WHERE NOT external",
     # files: every order is a file that the parts of its lines write (returned) or read (the others)
