@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 BEGINS = {
     "java": re.compile(r"^\s*(?:public|private|protected|static|class|interface|enum|@\w+)\b"),
     "md": re.compile(r"^#{1,6}\s"),
-    "cbl": re.compile(r"^[ \d]{0,10}[A-Za-z0-9][A-Za-z0-9-]*(?:\s+SECTION)?\.\s*$"),
+    "cbl": re.compile(r"^(?:\d{6}[ \t]{1,4}|[ \t]{1,10})[A-Za-z0-9][A-Za-z0-9_-]*(?:\s+SECTION)?\.\s*$"),
 }
 _COMMENT = {"java": re.compile(r"/\*.*?\*/|//[^\n]*", re.S), "xml": re.compile(r"<!--.*?-->", re.S)}
 

@@ -46,8 +46,9 @@ def division(text: Column, name: str) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Array of (name, body): a paragraph begins at a line with a name and a full stop only, or at a section; text before the first is PREAMBLE."""
-    begins = r"^[ \t0-9]{0,10}([A-Z0-9][A-Z0-9-]*)(?:[ \t]+SECTION)?\.[ \t]*$"
+    """Array of (name, body): a paragraph begins at a line with a name and a full stop only, or at a section,
+    in columns 8 to 11; names further in are statements; text before the first is PREAMBLE."""
+    begins = r"^(?:[0-9]{6}[ \t]{1,4}|[ \t]{1,10})([A-Z0-9][A-Z0-9_-]*)(?:[ \t]+SECTION)?\.[ \t]*$"
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
 
     def step(s: Column, x: Column) -> Column:

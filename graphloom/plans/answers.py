@@ -280,6 +280,13 @@ def lst47_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "entity").orderBy("file_name", "name", "kind")
 
 
+def src23_program_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program texts by the name that they give themselves, with newlines + 1 as their number of lines."""
+    texts = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("PROGRAM-ID. ")))
+    name = F.split_part(F.split_part("text", F.lit("PROGRAM-ID. "), F.lit(2)), F.lit("."), F.lit(1))
+    return texts.select(name.alias("name"), "doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("line_count"))
+
+
 # --- summaries
 
 
@@ -367,7 +374,7 @@ QUERIES = {
     for f in (
         joi04_cics_flows, joi06_mq_flows, joi08_file_pairs, joi10_cics_pairs, joi12_missing_hierarchy, joi16_unlinked_entities, joi17_orphan_files, joi18_fuzzy_fields, agg09_unannotated_paragraphs, agg10_domain_overlap,
         agg11_domain_candidates, mut06_merge_domains, agg12_gap_coverage, agg13_target_dashboard, nq09_dead_by_domain, nq16_dead_paragraphs, oth15_parent_level, lst01_programs, lst02_program_detail, lst04_copybooks,
-        lst06_copybook_structure, lst10_error_paragraphs, lst11_interfaces, lst16_data_hierarchy, lst17_bridge_programs, lst19_candidates, lst28_db_tables, lst47_entities, agg01_dashboard, agg04_effort, agg05_dead_code_summary,
+        lst06_copybook_structure, lst10_error_paragraphs, lst11_interfaces, lst16_data_hierarchy, lst17_bridge_programs, lst19_candidates, lst28_db_tables, lst47_entities, src23_program_source, agg01_dashboard, agg04_effort, agg05_dead_code_summary,
         agg17_validation, fts02_programs,
     )
 }
@@ -430,6 +437,7 @@ ORACLE = {
         "lst17_bridge_programs": "SELECT c.src AS program, TEXTS(d.domain) AS domains, count(DISTINCT d.domain) AS n FROM calls c, domain d WHERE d.program = c.dst GROUP BY 1 HAVING n >= 3",
         "lst19_candidates": "SELECT id, risk, line_count FROM program WHERE NOT (risk IS NULL OR file_path IS NULL)",
         "lst28_db_tables": "SELECT t AS tab, (SELECT count(DISTINCT program) FROM accesses a WHERE a.tab = t) AS programs FROM (SELECT DISTINCT upper(trim(t)) AS t FROM (SELECT unnest(sql_tables) AS t FROM programs)) WHERE t <> ''",
+        "src23_program_source": "SELECT regexp_extract(text, 'PROGRAM-ID\\. ([^.]*)', 1) AS name, doc_id, text, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count FROM documents WHERE contains(text, 'PROGRAM-ID. ')",
         "lst47_entities": "SELECT file_name, kind, name FROM entity",
         "agg01_dashboard": """SELECT what, n FROM (SELECT count(*) AS programs, count(*) FILTER (external) AS external, count(*) FILTER (id NOT IN (SELECT dst FROM calls)) AS orphans, (SELECT count(*) FROM calls) AS calls, (SELECT count(DISTINCT copybook) FROM includes) AS copybooks,
   (SELECT count(*) FROM item) AS items, (SELECT count(DISTINCT tab) FROM accesses) AS tables, (SELECT count(DISTINCT domain) FROM domain) AS domains, (SELECT count(*) FROM job) AS jobs, (SELECT count(*) FROM step) AS steps, (SELECT count(*) FROM source_paragraph) AS paragraphs,

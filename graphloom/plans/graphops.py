@@ -178,6 +178,12 @@ _RAW = {
     + "SELECT program, callee, array_to_string(min(path), ' > ') AS path FROM (SELECT *, min(depth) OVER (PARTITION BY program, callee) AS least FROM walk) WHERE depth = least GROUP BY 1, 2",
     "txt02_strip_sequence": """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN strlen(x) < 7 THEN x ELSE array_to_string(list_transform(
   list_filter(range(1, least(length(x), 72) + 1), lambda i: strlen(x[1:i - 1]) >= 6 AND strlen(x[1:i]) <= 72), lambda i: x[i]), '') END), chr(10)) AS text FROM documents WHERE text IS NOT NULL""",
+    "txt09_paragraphs": r"""WITH body AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?ims)^[ \t0-9]{0,11}PROCEDURE[ \t]+DIVISION\b.*', 0), ''), text) AS t FROM documents WHERE text LIKE '%PROGRAM-ID.%'),
+  line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM body),
+  named AS (SELECT *, nullif(upper(regexp_extract(x, '(?i)^(?:[0-9]{6}[ \t]{1,4}|[ \t]{1,10})([A-Z0-9][A-Z0-9_-]*)(?:[ \t]+SECTION)?[.][ \t]*$', 1)), '') AS h FROM line),
+  part AS (SELECT *, count(h) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM named),
+  whole AS (SELECT doc_id, k, coalesce(max(h), 'PREAMBLE') AS name, coalesce(sum(length(x) + 1) FILTER (h IS NULL), 0) AS size, bool_or(h IS NULL AND regexp_matches(x, '\S')) AS filled FROM part GROUP BY 1, 2)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS i, name, size::INT AS size FROM whole WHERE k > 0 OR filled""",
     "pth01_call_chain": _CHAIN + """, least AS (SELECT program, callee, min(depth)::INT AS depth FROM walk GROUP BY 1, 2)
   SELECT program, callee AS other, depth, 'downstream' AS direction FROM least UNION ALL SELECT callee, program, depth, 'upstream' FROM least""",
     "pth02_impact": """WITH RECURSIVE walk(program, other, depth) AS (SELECT src, dst, 1 FROM calls UNION SELECT w.program, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.other WHERE w.depth < 5),

@@ -18,9 +18,10 @@ TOOLS: dict[str, tuple[str, str | None]] = {
     "get_cross_codebase_calls": ("joi20_cross_codebase_calls", None), "get_shared_data_channels": ("agg06_shared_channels", None), "get_cross_program_data_flow": ("agg07_cross_program_flow", "program"),
     "get_file_accessors": ("agg08_file_accessors", "file"), "get_effort_estimates": ("agg04_effort", None), "get_validation_report": ("agg17_validation", None), "get_dashboard_stats": ("agg01_dashboard", None),
     "get_program_conditional_logic": ("lst09_conditional_logic", "doc_id"), "get_program_sql": ("lst12_sql_statements", "program"), "get_data_flow": ("lst15_data_flow", "doc_id"), "list_volume_estimates": ("lst21_volume_estimates", None),
-    "trace_field_impact": ("pth03_field_impact", "field"), "get_gap_analysis": ("txt44_tagged_gaps", None), "list_business_gaps": ("txt44_tagged_gaps", "severity"), "get_gap_coverage_summary": ("agg12_coverage", None),
-    "get_target_stack_dashboard": ("agg13_corpus_dashboard", None), "list_modernization_candidates": ("pth07_migration_sequence", None), "get_program_source": ("lst50_program_paths", "id"),
-    "get_data_hierarchy": ("txt31_data_hierarchy", "item_id"), "get_type_mappings": ("txt32_pic_types", "item_id"), "search_programs": ("fts01_search", None),
+    "trace_field_impact": ("pth03_field_impact", "field"), "get_gap_analysis": ("txt44_tagged_gaps", None), "list_business_gaps": ("txt44_tagged_gaps", "severity"), "get_gap_coverage_summary": ("agg12_gap_coverage", None),
+    "get_target_stack_dashboard": ("agg13_target_dashboard", None), "list_modernization_candidates": ("lst19_candidates", None), "get_program_source": ("src23_program_source", "name"),
+    "get_data_hierarchy": ("txt31_data_hierarchy", "item_id"), "get_type_mappings": ("txt32_pic_types", "item_id"), "search_programs": ("fts02_programs", None), "get_error_handlers": ("lst10_error_paragraphs", "name"),
+    "get_external_interfaces": ("lst11_interfaces", "program"), "get_data_item_hierarchy": ("lst16_data_hierarchy", "program"), "list_entities": ("lst47_entities", None), "get_cics_flows": ("joi04_cics_flows", "src"), "get_queue_flows": ("joi06_mq_flows", "queue"),
 }
 
 
