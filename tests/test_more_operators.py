@@ -89,3 +89,33 @@ def test_texts_for_readers_and_repositories(spark):
     assert [tuple(x) for x in u.select(classify.repo_provider(F.col("u")), classify.repo_name(F.col("u"))).collect()] == [("github", "repo"), ("azure_devops", "p"), ("generic", "nothing")]
     assert [x[0] for x in spark.createDataFrame([("x @startMindMap",), ("none",)], "t string").select(classify.plantuml_kind(F.col("t"))).collect()] == ["Mind Map", ""]
     assert [x[0] for x in spark.createDataFrame([("META-INF/MANIFEST.MF",), ("a/b.class",), ("c.png",)], "t string").select(classify.analyzable(F.col("t"))).collect()] == [True, True, False]
+
+
+def test_every_tool_has_its_query(spark):
+    from graphloom.plans import registry, tools
+
+    known = registry.queries()
+    assert {q for q, _ in tools.TOOLS.values()} <= set(known)
+    rows = tools.call(spark, "/root/testdata/sf0.001", "get_queue_flows", "no such queue")
+    assert rows.count() == 0 and rows.columns[0] == "queue"
+
+
+def test_queue_ends(spark):
+    from graphloom.plans.answers import queue_ends
+
+    rows = [("a", "MQPUT ('Q1')"), ("a", "MQPUT ('Q1')"), ("b", "MQGET ('Q1')"), ("c", "MQOPEN OUTPUT ('Q2')"), ("c", "MQOPEN INPUT ('Q2')"), ("d", "MQCLOSE ('Q1')"), (None, "MQGET ('Q2')"), ("e", None), ("f", "MQPUT")]
+    df = spark.createDataFrame(rows, "program string, details string")
+    assert {tuple(r) for r in queue_ends(df).collect()} == {("Q1", "a", "writer", 1, 1), ("Q1", "b", "reader", 1, 1)}
+    assert queue_ends(df.limit(0)).count() == 0
+
+
+def test_listing_pages(spark):
+    from graphloom.plans.answers import lst01_programs, lst02_program_detail
+
+    sf = "/root/testdata/sf0.001"
+    whole = [r.id for r in lst01_programs(spark, sf).collect()]
+    page = lst01_programs(spark, sf, page=2, size=5).collect()
+    assert [r.id for r in page] == whole[5:10] and page[0].total == len(whole)
+    part = lst01_programs(spark, sf, contains="::").collect()
+    assert part and all("::" in r.id and r.total == len(part) for r in part)
+    assert lst02_program_detail(spark, sf, whole[0]).count() == 1 and lst02_program_detail(spark, sf, "none").count() == 0
