@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import repair, search
 from ..operators.fuzzy import containing_pairs
+from ..operators.incremental import first_wins
 from ..session import durable, table
+from ..sources import extraction
 from .views import duck, view
 
 def _n(name: str) -> Column:
@@ -369,13 +371,67 @@ def fts02_programs(spark: SparkSession, sf_dir: str, query: str = "claims dump s
     return found[0].unionByName(found[1])
 
 
+# --- external tables and target services: documents, one per record, written out of the graph and read back by their contracts
+
+
+def _external(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    part = lambda i: F.split_part("tab", F.lit("."), F.lit(i))
+    tables = F.array(F.struct(part(2).alias("name"), part(1).alias("schema")))
+    mappings = F.array(F.struct(F.col("tab").alias("cobolTable"), F.lower("tab").alias("externalTable"), F.lit(0.9).alias("confidence")))
+    docs = view(spark, sf_dir, "accesses").select("tab").distinct().select(F.lit("Warehouse").alias("key"), F.lit(None).cast("string").alias("program"), F.to_json(F.struct(tables.alias("externalTables"), mappings.alias("mappings"))).alias("json"))
+    return extraction.frames(extraction.parse(docs, "external"), "external")
+
+
+def lst37_external_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _external(spark, sf_dir)["tables"].select("id", "name", "schema_name").distinct().orderBy("id")
+
+
+def lst39_mappings(spark: SparkSession, sf_dir: str, tab: str | None = None) -> DataFrame:
+    """Mappings of the tables of programs to external ones; of one table, or of all."""
+    rows = _external(spark, sf_dir)["mappings"].select("tab", "external", "confidence").distinct()
+    return rows if tab is None else rows.where(F.col("tab") == tab)
+
+
+def nq14_external_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External tables with the programs that reach them through a mapped table."""
+    uses = view(spark, sf_dir, "accesses").select("program", "tab").distinct()
+    return uses.join(lst39_mappings(spark, sf_dir), "tab").groupBy("external").agg(F.count_distinct("program").alias("programs"))
+
+
+def _target(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    service = F.struct("name", F.lit("http").alias("serviceType"), F.lit("Java").alias("language"), F.col("file_name").alias("basePath"))
+    rows = view(spark, sf_dir, "entity").where("kind = 'Service'")
+    docs = rows.select(F.regexp_extract("file_name", "^bw/([^/]+)/", 1).alias("key"), F.lit(None).cast("string").alias("program"), F.to_json(F.struct(F.array(service).alias("services"))).alias("json"))
+    return extraction.frames(extraction.parse(docs, "target"), "target")
+
+
+def lst43_target_services(spark: SparkSession, sf_dir: str, repo: str | None = None) -> DataFrame:
+    """Services by repository, the first document of an id wins; of one repository, or of all."""
+    rows = first_wins(_target(spark, sf_dir)["services"].select("id", "key", "name", "type", "language", "base_path"), ["id"], ["base_path"])
+    out = rows.select("id", F.col("key").alias("repo"), "name", "type", "language", "base_path")
+    return out if repo is None else out.where(F.col("repo") == repo)
+
+
+def lst42_target_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lst43_target_services(spark, sf_dir).groupBy("repo").agg(_n("services"))
+
+
+def agg16_slices(spark: SparkSession, sf_dir: str, offset: int = 0, size: int | None = None) -> DataFrame:
+    """The slices of programs with a source, by id; a ``size`` gives that many from ``offset`` on."""
+    from .listings import QUERIES as listed
+
+    sourced = view(spark, sf_dir, "program").where("file_path is not null").select("id")
+    out = listed["agg15_program_slice"](spark, sf_dir).join(sourced, "id", "left_semi").orderBy("id")
+    return out if size is None else out.offset(offset).limit(size)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         joi04_cics_flows, joi06_mq_flows, joi08_file_pairs, joi10_cics_pairs, joi12_missing_hierarchy, joi16_unlinked_entities, joi17_orphan_files, joi18_fuzzy_fields, agg09_unannotated_paragraphs, agg10_domain_overlap,
         agg11_domain_candidates, mut06_merge_domains, agg12_gap_coverage, agg13_target_dashboard, nq09_dead_by_domain, nq16_dead_paragraphs, oth15_parent_level, lst01_programs, lst02_program_detail, lst04_copybooks,
         lst06_copybook_structure, lst10_error_paragraphs, lst11_interfaces, lst16_data_hierarchy, lst17_bridge_programs, lst19_candidates, lst28_db_tables, lst47_entities, src23_program_source, agg01_dashboard, agg04_effort, agg05_dead_code_summary,
-        agg17_validation, fts02_programs,
+        agg17_validation, fts02_programs, lst37_external_tables, lst39_mappings, nq14_external_fanout, lst43_target_services, lst42_target_repos, agg16_slices,
     )
 }
 
@@ -438,6 +494,13 @@ ORACLE = {
         "lst19_candidates": "SELECT id, risk, line_count FROM program WHERE NOT (risk IS NULL OR file_path IS NULL)",
         "lst28_db_tables": "SELECT t AS tab, (SELECT count(DISTINCT program) FROM accesses a WHERE a.tab = t) AS programs FROM (SELECT DISTINCT upper(trim(t)) AS t FROM (SELECT unnest(sql_tables) AS t FROM programs)) WHERE t <> ''",
         "src23_program_source": "SELECT regexp_extract(text, 'PROGRAM-ID\\. ([^.]*)', 1) AS name, doc_id, text, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count FROM documents WHERE contains(text, 'PROGRAM-ID. ')",
+        "lst37_external_tables": "SELECT DISTINCT lower('warehouse.' || tab) AS id, split_part(tab, '.', 2) AS name, split_part(tab, '.', 1) AS schema_name FROM accesses",
+        "lst39_mappings": "SELECT DISTINCT tab, lower(tab) AS external, 0.9::DOUBLE AS confidence FROM accesses",
+        "nq14_external_fanout": "SELECT lower(tab) AS external, count(DISTINCT program) AS programs FROM accesses GROUP BY 1",
+        "lst43_target_services": "SELECT split_part(file_name, '/', 2) || '::' || name AS id, split_part(file_name, '/', 2) AS repo, name, 'REST_API' AS type, 'Java' AS language, min(file_name) AS base_path FROM entity WHERE kind = 'Service' GROUP BY 1, 2, 3",
+        "lst42_target_repos": "SELECT split_part(file_name, '/', 2) AS repo, count(DISTINCT name) AS services FROM entity WHERE kind = 'Service' GROUP BY 1",
+        "agg16_slices": """SELECT p.id, p.mode, p.external, (SELECT TEXTS(copybook) FROM includes WHERE program = p.id) AS copybooks, (SELECT TEXTS(tab) FROM accesses WHERE program = p.id) AS tables, (SELECT TEXTS(dst) FROM calls WHERE src = p.id) AS callees,
+  (SELECT TEXTS(command) FROM cics WHERE program = p.id) AS commands FROM program p WHERE file_path IS NOT NULL""",
         "lst47_entities": "SELECT file_name, kind, name FROM entity",
         "agg01_dashboard": """SELECT what, n FROM (SELECT count(*) AS programs, count(*) FILTER (external) AS external, count(*) FILTER (id NOT IN (SELECT dst FROM calls)) AS orphans, (SELECT count(*) FROM calls) AS calls, (SELECT count(DISTINCT copybook) FROM includes) AS copybooks,
   (SELECT count(*) FROM item) AS items, (SELECT count(DISTINCT tab) FROM accesses) AS tables, (SELECT count(DISTINCT domain) FROM domain) AS domains, (SELECT count(*) FROM job) AS jobs, (SELECT count(*) FROM step) AS steps, (SELECT count(*) FROM source_paragraph) AS paragraphs,

@@ -22,6 +22,7 @@ TOOLS: dict[str, tuple[str, str | None]] = {
     "get_target_stack_dashboard": ("agg13_target_dashboard", None), "list_modernization_candidates": ("lst19_candidates", None), "get_program_source": ("src23_program_source", "name"),
     "get_data_hierarchy": ("txt31_data_hierarchy", "item_id"), "get_type_mappings": ("txt32_pic_types", "item_id"), "search_programs": ("fts02_programs", None), "get_error_handlers": ("lst10_error_paragraphs", "name"),
     "get_external_interfaces": ("lst11_interfaces", "program"), "get_data_item_hierarchy": ("lst16_data_hierarchy", "program"), "list_entities": ("lst47_entities", None), "get_cics_flows": ("joi04_cics_flows", "src"), "get_queue_flows": ("joi06_mq_flows", "queue"),
+    "list_external_tables": ("lst37_external_tables", None), "get_table_mappings": ("lst39_mappings", "tab"), "list_target_services": ("lst43_target_services", "repo"), "list_target_repos": ("lst42_target_repos", None),
 }
 
 
