@@ -371,6 +371,25 @@ def fts02_programs(spark: SparkSession, sf_dir: str, query: str = "claims dump s
     return found[0].unionByName(found[1])
 
 
+# --- named queries with arguments
+
+
+def nq06_programs_touching_table(spark: SparkSession, sf_dir: str, part: str = "ACCOUNT") -> DataFrame:
+    """Programs whose tables' names hold ``part``, any case."""
+    return view(spark, sf_dir, "accesses").where(F.contains(F.upper("tab"), F.lit(part.upper()))).select("tab", "program", "op")
+
+
+def nq07_programs_using_copybook(spark: SparkSession, sf_dir: str, copybook: str = "STDHDR01") -> DataFrame:
+    """Programs that include the copybook, with their domains."""
+    users = view(spark, sf_dir, "includes").where(F.col("copybook") == copybook.upper())
+    return users.join(view(spark, sf_dir, "domain"), "program", "left").select("program", "domain")
+
+
+def nq11_text_search(spark: SparkSession, sf_dir: str, part: str = "CHECKPOINT RECORD") -> DataFrame:
+    """Texts that hold ``part``, any case."""
+    return table(spark, sf_dir, "documents").where(F.contains(F.upper("text"), F.lit(part.upper()))).select("doc_id", "n_chars")
+
+
 # --- external tables and target services: documents, one per record, written out of the graph and read back by their contracts
 
 
@@ -432,6 +451,7 @@ QUERIES = {
         agg11_domain_candidates, mut06_merge_domains, agg12_gap_coverage, agg13_target_dashboard, nq09_dead_by_domain, nq16_dead_paragraphs, oth15_parent_level, lst01_programs, lst02_program_detail, lst04_copybooks,
         lst06_copybook_structure, lst10_error_paragraphs, lst11_interfaces, lst16_data_hierarchy, lst17_bridge_programs, lst19_candidates, lst28_db_tables, lst47_entities, src23_program_source, agg01_dashboard, agg04_effort, agg05_dead_code_summary,
         agg17_validation, fts02_programs, lst37_external_tables, lst39_mappings, nq14_external_fanout, lst43_target_services, lst42_target_repos, agg16_slices,
+        nq06_programs_touching_table, nq07_programs_using_copybook, nq11_text_search,
     )
 }
 
@@ -494,6 +514,9 @@ ORACLE = {
         "lst19_candidates": "SELECT id, risk, line_count FROM program WHERE NOT (risk IS NULL OR file_path IS NULL)",
         "lst28_db_tables": "SELECT t AS tab, (SELECT count(DISTINCT program) FROM accesses a WHERE a.tab = t) AS programs FROM (SELECT DISTINCT upper(trim(t)) AS t FROM (SELECT unnest(sql_tables) AS t FROM programs)) WHERE t <> ''",
         "src23_program_source": "SELECT regexp_extract(text, 'PROGRAM-ID\\. ([^.]*)', 1) AS name, doc_id, text, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count FROM documents WHERE contains(text, 'PROGRAM-ID. ')",
+        "nq06_programs_touching_table": "SELECT tab, program, op FROM accesses WHERE tab ILIKE '%ACCOUNT%'",
+        "nq07_programs_using_copybook": "SELECT i.program, d.domain FROM includes i LEFT JOIN domain d USING (program) WHERE i.copybook = 'STDHDR01'",
+        "nq11_text_search": "SELECT doc_id, n_chars FROM documents WHERE text ILIKE '%checkpoint record%'",
         "lst37_external_tables": "SELECT DISTINCT lower('warehouse.' || tab) AS id, split_part(tab, '.', 2) AS name, split_part(tab, '.', 1) AS schema_name FROM accesses",
         "lst39_mappings": "SELECT DISTINCT tab, lower(tab) AS external, 0.9::DOUBLE AS confidence FROM accesses",
         "nq14_external_fanout": "SELECT lower(tab) AS external, count(DISTINCT program) AS programs FROM accesses GROUP BY 1",

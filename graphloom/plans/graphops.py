@@ -13,8 +13,8 @@ from ..sources import extraction
 from ..streaming import streams
 from .views import duck, run, view
 
-#: Hops of a call chain unless the caller asks for more, and of an impact analysis or a path.
-CHAIN, IMPACT = 3, 5
+#: Hops of a call chain unless the caller asks for more, of an impact analysis or a path, and the most of a chain.
+CHAIN, IMPACT, MOST_CHAIN = 3, 5, 10
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "program").select("id")
 
 
-def pth01_call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every program's callees (downstream) and callers (upstream) within three hops, with the least depth."""
-    met = traverse.reach(_calls(spark, sf_dir), _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node")), CHAIN, paths=False).where("depth > 0")
+def pth01_call_chain(spark: SparkSession, sf_dir: str, hops: int = CHAIN) -> DataFrame:
+    """Every program's callees (downstream) and callers (upstream) within three hops, or as many as asked for up to ten, with the least depth."""
+    hops = CHAIN if hops < 1 else min(hops, MOST_CHAIN)
+    met = traverse.reach(_calls(spark, sf_dir), _ids(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("node")), hops, paths=False).where("depth > 0")
     # whoever calls at a depth is called at that depth, so one traversal gives both directions
     way = lambda program, other, direction: met.select(F.col(program).alias("program"), F.col(other).alias("other"), "depth", F.lit(direction).alias("direction"))
     return way("key", "node", "downstream").unionByName(way("node", "key", "upstream"))
@@ -156,8 +157,8 @@ def txt44_tagged_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.first_wins(rows.where("id is not null"), ["doc_id", "id"], ["at"]).select("doc_id", "id", "severity", "title")
 
 
-def fts01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "claim reserve abend restart")
+def fts01_search(spark: SparkSession, sf_dir: str, query: str = "claim reserve abend restart", limit: int = 100) -> DataFrame:
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", query, top=limit)
 
 
 QUERIES = {

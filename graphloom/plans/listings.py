@@ -90,9 +90,6 @@ SQL = {
     "nq03_copybooks_by_fields": "SELECT copybook, BIG(count(*)) AS fields FROM item WHERE copybook <> '' GROUP BY copybook ORDER BY fields DESC, copybook LIMIT 100",
     "nq04_paragraphs_by_fanin": "SELECT program, dst AS paragraph, BIG(count(DISTINCT src)) AS callers FROM performs GROUP BY program, dst ORDER BY callers DESC, program, paragraph LIMIT 100",
     "nq05_cross_domain_calls": "SELECT a.domain AS src_domain, b.domain AS dst_domain, BIG(count(*)) AS calls FROM calls c JOIN domain a ON a.program = c.src JOIN domain b ON b.program = c.dst WHERE a.domain <> b.domain GROUP BY a.domain, b.domain",
-    "nq06_programs_touching_table": "SELECT tab, program, op FROM accesses WHERE contains(upper(tab), 'ACCOUNT')",
-    "nq07_programs_using_copybook": "SELECT i.program, d.domain FROM includes i LEFT JOIN domain d ON d.program = i.program WHERE i.copybook = 'STDHDR01'",
-    "nq11_text_search": "SELECT doc_id, n_chars FROM documents WHERE contains(upper(text), 'CHECKPOINT RECORD')",
     "nq12_linkage_coverage": """SELECT i.program, i.name, BIG(count(a.src)) AS callers FROM (SELECT DISTINCT program, name FROM item WHERE level = 1) i
       LEFT JOIN (SELECT DISTINCT c.src, c.dst, x.name FROM calls c JOIN item x ON x.program = c.src) a ON a.dst = i.program AND a.name = i.name GROUP BY i.program, i.name""",
     "nq15_all_calls": "SELECT src, dst FROM calls ORDER BY src, dst LIMIT 100",
