@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, restart: bool = False, limit_rounds: int | None = None, paths: bool = True) -> DataFrame:
@@ -38,12 +38,27 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, restart: bool = False,
 def dead_nodes(nodes: DataFrame, edges: DataFrame, hops: int = 50) -> DataFrame:
     """(key, node) that no entry of their key reaches. An entry has no incoming edge; keys without any entry have no dead node.
 
-    ``nodes``: key, node. ``edges``: key, src, dst.
+    ``nodes``: key, node. ``edges``: key, src, dst. All joins are told to merge: the planner takes an exploded list for one
+    row, and would have the driver broadcast frames of millions of nodes. Edges are laid out by source once, and each hop
+    shuffles only what it met; entries can't be met again.
     """
-    called = edges.select("key", F.col("dst").alias("node")).distinct()
-    entries = durable(nodes.select("key", "node").distinct().join(called, ["key", "node"], "left_anti"))
-    reached = reach(edges, entries, hops)
-    return nodes.select("key", "node").distinct().join(entries.select("key").distinct(), "key", "left_semi").join(reached.select("key", "node"), ["key", "node"], "left_anti")
+    pairs = edges.where("key is not null and dst is not null").select("key", "src", "dst")
+    flagged = nodes.select("key", "node", F.lit(True).alias("own"), F.lit(False).alias("called"))
+    flagged = flagged.unionByName(pairs.select("key", F.col("dst").alias("node"), F.lit(False).alias("own"), F.lit(True).alias("called")))
+    marked = written(flagged.groupBy("key", "node").agg(F.bool_or("own").alias("own"), F.bool_or("called").alias("called")).where("own").select("key", "node", "called"))
+    entries = marked.where("not called").select("key", "node")
+    e = durable(pairs.where("src is not null").repartition("key", "src").distinct().sortWithinPartitions("key", "src"), laid=True)
+    frontier, seen = entries, None
+    for _ in range(hops):
+        step = frontier.withColumnRenamed("node", "src").join(e.hint("merge"), ["key", "src"]).select("key", F.col("dst").alias("node")).distinct()
+        frontier = written(step if seen is None else step.join(seen.hint("merge"), ["key", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = frontier if seen is None else seen.unionByName(frontier)
+    dead = marked.where("called").select("key", "node")
+    if seen is not None:
+        dead = dead.join(seen.hint("merge"), ["key", "node"], "left_anti")
+    return dead.join(entries.select("key").distinct().hint("merge"), "key", "left_semi")
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

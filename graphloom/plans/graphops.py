@@ -64,7 +64,7 @@ def _step_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pth04_dead_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = view(spark, sf_dir, "paragraph").select(F.col("program").alias("key"), F.col("i").cast("long").alias("node"))
     edges = view(spark, sf_dir, "performs").select(F.col("program").alias("key"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    return traverse.dead_nodes(nodes, durable(edges)).select(F.col("key").alias("program"), F.col("node").alias("paragraph"))
+    return traverse.dead_nodes(nodes, edges).select(F.col("key").alias("program"), F.col("node").alias("paragraph"))
 
 
 def pth06_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,23 @@ def test_dead_nodes(spark):
     assert {(r.key, r.node) for r in traverse.dead_nodes(nodes, e).collect()} == {("p", "c"), ("p", "d")}  # q has no entry
 
 
+def test_dead_nodes_of_random_graphs(spark):
+    rng = random.Random(5)
+    nodes = {(k, n) for k in range(30) for n in range(8)}
+    pairs = [(rng.randrange(31), *rng.choices([*range(9), None], k=2)) for _ in range(230)] + [(None, 1, 2), (40, 1, 2)]
+    pairs += pairs[:20]
+    e = [p for p in pairs if p[0] is not None and p[2] is not None]
+    entries = nodes - {(k, b) for k, _, b in e}
+    met = set(entries)
+    for _ in range(20):
+        met |= {(k, b) for k, a, b in e if (k, a) in met}
+    want = {x for x in nodes - met if x[0] in {k for k, _ in entries}}
+    n = spark.createDataFrame([*nodes, *list(nodes)[:9], (None, 3)], "key long, node long")
+    got = [(r.key, r.node) for r in traverse.dead_nodes(n, spark.createDataFrame(pairs, "key long, src long, dst long")).collect()]
+    assert want and sorted(got) == sorted(want)
+    assert traverse.dead_nodes(n.limit(0), spark.createDataFrame([], "key long, src long, dst long")).count() == 0
+
+
 def test_layers_follow_what_they_lead_to(spark):
     n = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
     got = {r.node: (r.layer, r.tier) for r in traverse.layers(n, edges(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "d"), ("f", "d"), ("z", "a"), ("g", "g")])).collect()}

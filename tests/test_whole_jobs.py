@@ -107,3 +107,31 @@ def test_queues_flow_between_different_programs(spark, tmp_path):
 def test_every_business_domain_has_its_programs(spark, tmp_path):
     got = ask(spark, tmp_path, "lst23_business_domain", programs=([program(n) for n in ("ABCX", "ABDX", "CBCX")] + [program("OUT", is_external=True)], PROGRAM))
     assert {r.domain: r.programs for r in got} == {"letter A": "ABCX,ABDX", "letter C": "CBCX", "kind BC": "ABCX,CBCX", "kind BD": "ABDX"}
+
+
+def without_broadcast(spark, folder, name, **tables):
+    """As ask(), where any table that the driver broadcasts is one too large."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        return ask(spark, folder, name, **tables)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+PARTS = {"part": ([(k,) for k in range(40)], "p_partkey long"), "programs": ([], PROGRAM)}
+
+
+def dead_of(program):
+    leads = {i: (i * i + program) % 10 for i in range(10)}
+    met = entries = set(range(10)) - set(leads.values())
+    for _ in range(10):
+        met = met | {leads[i] for i in met}
+    return sorted(set(range(10)) - met) if entries else []
+
+
+DEAD = [(p, i) for p in range(40) for i in dead_of(p)]
+
+
+def test_dead_paragraphs_need_no_broadcast(spark, tmp_path):
+    assert DEAD
+    assert sorted(map(tuple, without_broadcast(spark, tmp_path, "pth04_dead_paragraphs", **PARTS))) == DEAD
