@@ -135,3 +135,9 @@ DEAD = [(p, i) for p in range(40) for i in dead_of(p)]
 def test_dead_paragraphs_need_no_broadcast(spark, tmp_path):
     assert DEAD
     assert sorted(map(tuple, without_broadcast(spark, tmp_path, "pth04_dead_paragraphs", **PARTS))) == DEAD
+
+
+def test_first_dead_paragraphs_need_no_broadcast(spark, tmp_path):
+    tables = PARTS | {"part": ([(k,) for k in reversed(range(300))], "p_partkey long")}
+    want = [(p, i) for p in range(300) for i in dead_of(p)]
+    assert len(want) > 100 and list(map(tuple, without_broadcast(spark, tmp_path, "nq16_dead_paragraphs", **tables))) == want[:100]
