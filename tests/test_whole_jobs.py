@@ -141,3 +141,8 @@ def test_first_dead_paragraphs_need_no_broadcast(spark, tmp_path):
     tables = PARTS | {"part": ([(k,) for k in reversed(range(300))], "p_partkey long")}
     want = [(p, i) for p in range(300) for i in dead_of(p)]
     assert len(want) > 100 and list(map(tuple, without_broadcast(spark, tmp_path, "nq16_dead_paragraphs", **tables))) == want[:100]
+
+
+def test_dead_code_summary_needs_no_broadcast(spark, tmp_path):
+    want = sorted(((p, 10, n) for p in range(40) if (n := len(dead_of(p)))), key=lambda r: (-r[2], r[0]))
+    assert list(map(tuple, without_broadcast(spark, tmp_path, "agg05_dead_code_summary", **PARTS))) == want
