@@ -146,3 +146,13 @@ def test_first_dead_paragraphs_need_no_broadcast(spark, tmp_path):
 def test_dead_code_summary_needs_no_broadcast(spark, tmp_path):
     want = sorted(((p, 10, n) for p in range(40) if (n := len(dead_of(p)))), key=lambda r: (-r[2], r[0]))
     assert list(map(tuple, without_broadcast(spark, tmp_path, "agg05_dead_code_summary", **PARTS))) == want
+
+
+def test_dead_by_domain_needs_no_broadcast(spark, tmp_path):
+    names = {}
+    for p, i in DEAD:
+        shared = [f"A{p % 8}", *([f"B{p % 8}"] if p % 10 < 9 else []), f"C{p % 8 if p // 8 % 2 == 0 else (p + 7) % 8}"]
+        for d in shared:
+            names.setdefault(d, []).append(f"{p}.{i}")
+    want = sorted((d, len(x), ",".join(sorted(x)[:5])) for d, x in names.items())
+    assert sorted(map(tuple, without_broadcast(spark, tmp_path, "nq09_dead_by_domain", **PARTS))) == want
